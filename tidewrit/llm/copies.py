@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows of one group are spread over so many salts when group members are joined to their group's smallest id.
 SALTS = 16
 
@@ -22,17 +24,17 @@ def canonical(text: Column) -> Column:
     return F.translate(folded, "ς", "σ")
 
 
-def value_id(value: Column) -> Column:
-    """The identifier of a canonical value: two 64-bit integers."""
-    return F.struct(F.xxhash64(F.lit(7919), value).alias("a"), F.xxhash64(F.lit(104729), value).alias("b"))
+def value_ids(values: Column) -> Column:
+    """The identifier of each canonical value: two 64-bit integers. The lambda keeps a value from being made twice."""
+    return F.transform(values, lambda v: F.struct(F.xxhash64(F.lit(7919), v).alias("a"), F.xxhash64(F.lit(104729), v).alias("b")))
 
 
 def field_tuple(text: Column) -> Column:
     """The record as a sorted tuple of value identifiers; ``label: value`` pairs set apart by | or ; are its fields."""
     parts = F.filter(F.split(text, "[|;]"), lambda p: p.rlike("[\\p{L}\\p{Nd}]"))
     labelled = text.rlike("[|;]") & (F.size(parts) > 1) & F.forall(parts, lambda p: p.rlike("^[^:]{0,60}[\\p{L}\\p{Nd}][^:]{0,60}:"))
-    pairs = F.transform(parts, lambda p: value_id(F.concat(canonical(F.substring_index(p, ":", 1)), F.lit(":"), canonical(F.regexp_replace(p, "^[^:]*:", "")))))
-    return F.when(labelled, F.array_sort(pairs)).otherwise(F.array(value_id(canonical(text))))
+    pairs = F.transform(parts, lambda p: F.concat(canonical(F.substring_index(p, ":", 1)), F.lit(":"), canonical(F.regexp_replace(p, "^[^:]*:", ""))))
+    return F.when(labelled, F.array_sort(value_ids(pairs))).otherwise(value_ids(F.array(canonical(text))))
 
 
 def record_keys(df: DataFrame, id_col: str = "msg_id", text_col: str = "text_orig") -> DataFrame:
@@ -54,10 +56,10 @@ def copy_groups(keys: DataFrame) -> DataFrame:
 def hidden_copies(df: DataFrame, id_col: str = "msg_id", text_col: str = "text_orig") -> DataFrame:
     """(keep_id, copy_id): each set's smallest id with each other id of the set, each pair once.
 
-    A second delivery (the same id again) is no copy. Null, blank or symbol-only texts are never copies. Empty input
+    The keys, three integers a row, are written to the shared folder, since both sides of the join need them. A second delivery (the same id again) is no copy. Null, blank or symbol-only texts are never copies. Empty input
     gives an empty result.
     """
-    keys = record_keys(df, id_col, text_col)
+    keys = written(record_keys(df, id_col, text_col))
     groups = copy_groups(keys).select("k1", "k2", "keep_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     members = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     return (
