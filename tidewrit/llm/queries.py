@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, leaks, tokens
+from . import copies, leaks, lookalikes, mojibake, tokens
 from .common import messages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.garbled(mojibake.records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "csv_sent")))
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mojibake.restored(mojibake.records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "csv_sent")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = lookalikes.gold_records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "csv_sent"))
+    return lookalikes.found(recs, table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "gazetteer"))
+
+
+def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recs = lookalikes.gold_records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "csv_sent"))
+    return lookalikes.normalized(recs, table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "gazetteer")).where("affected").select("field", "rec_id", "text", "fixed")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.hidden_copies(table(spark, sf_dir, "messages"))
 
