@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, leaks, lookalikes, mojibake, tokens
+from . import copies, leaks, lookalikes, mojibake, sentences, tokens
 from .common import messages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msgs = table(spark, sf_dir, "messages")
+    asked = table(spark, sf_dir, "seg_sample").select("msg_id").distinct()
+    chosen = msgs.select("msg_id", "text_orig", "text_prepro").join(asked, "msg_id", "left_semi").dropDuplicates(["msg_id"])
+    return sentences.sentence_spans(sentences.fields(chosen), sentences.fitted(msgs), "msg_id, field")
+
+
+def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msgs = table(spark, sf_dir, "messages")
+    return sentences.sentence_spans(sentences.fields(messages(spark, sf_dir, "text_orig", "text_prepro")), sentences.fitted(msgs), "msg_id, field")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(mojibake.records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "csv_sent")))
 
