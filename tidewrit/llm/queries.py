@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, leaks, lookalikes, mojibake, sentences, tokens
+from . import copies, language, leaks, lookalikes, mojibake, sentences, tokens
 from .common import messages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def p1_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_spans(sentences.fields(messages(spark, sf_dir, "text_orig", "text_prepro")), sentences.fitted(msgs), "msg_id, field")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(table(spark, sf_dir, "messages"), table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "gazetteer"))
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.segments(table(spark, sf_dir, "messages"), table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "gazetteer"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mojibake.garbled(mojibake.records(table(spark, sf_dir, "messages"), table(spark, sf_dir, "csv_sent")))
 
