@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import copies, language, leaks, lookalikes, mojibake, sentences, tokens
+from . import abuse, copies, language, leaks, lookalikes, mojibake, sentences, tokens
 from .common import messages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,22 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.collapsed(table(spark, sf_dir, "messages"))
 
 
+def _abuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.scored(*(table(spark, sf_dir, t) for t in ("messages", "msg_label", "abuse_term", "lexicon", "gazetteer")))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.found(_abuse(spark, sf_dir))
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse(spark, sf_dir).select("msg_id", "score", "category", "start_pos", "end_pos").dropDuplicates(["msg_id"])
+
+
+def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.rates(_abuse(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
