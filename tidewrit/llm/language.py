@@ -39,8 +39,8 @@ BY_NOTATION = {n: lang for lang, names in NOTATIONS.items() for n in names.split
 TRAINING, LETTERS = 2_500, 40_000
 #: Cost, in phrases, of a change of language between sentences and within one.
 CHANGE, CHANGE_WITHIN = 2.0, 6.0
-#: What must be gone before parsing: links, handles, tags, addresses, line breaks.
-NOISE = r"https?:/\S+|www\.\S+|\S+@\S+\.\S+|[@#＠＃][\p{L}\p{M}\p{N}_]+|(?i:<LINEBREAK>)"
+#: What must be gone before parsing: links, handles, tags, addresses, line breaks, smileys.
+_noise = re.compile(r"https?:/\S+|www\.\S+|\S+@\S+\.\S+|[@#＠＃]\w+|(?i:<LINEBREAK>)|(?<!\w)" + _SMILEY)
 
 _LETTERS = " 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 _SIZE = 64
@@ -282,19 +282,20 @@ def training(messages: DataFrame, most: int = TRAINING) -> dict[str, list[str]]:
     """At most ``most`` texts of each language by label: those with the smallest hash."""
     from pyspark.sql import Window
 
-    t = F.regexp_replace("text_orig", NOISE, " ")
-    rows = messages.select(label_language(F.col("lang")).alias("l"), t.alias("t"), F.xxhash64("text_orig").alias("h")).where(F.col("l").isin(*LATIN, "zh", "ja") & ~suspicious(F.col("t")))
-    # A bound on the hash keeps what is sorted small; hashes are uniform, so it holds eight times what is asked.
-    best = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
-    bound = {r["l"]: min(2**63 - 1, -(2**63) + int(min(1.0, 8.0 * most / r["n"]) * 2**64)) for r in best.collect()}
+    label = label_language(F.col("lang"))
+    # A bound on the hash keeps what is read closely and sorted small; hashes are uniform, so it holds eight times what
+    # is asked. Counting the labels needs no text.
+    counts = messages.select(label.alias("l")).where(F.col("l").isin(*LATIN, "zh", "ja")).groupBy("l").count().collect()
     keep = F.lit(False)
-    for lang, h in bound.items():
-        keep = keep | ((F.col("l") == lang) & (F.col("h") <= F.lit(h)))
+    for r in counts:
+        h = min(2**63 - 1, -(2**63) + int(min(1.0, 8.0 * most / r["count"]) * 2**64))
+        keep = keep | ((F.col("l") == r["l"]) & (F.col("h") <= F.lit(h)))
+    rows = messages.select(label.alias("l"), F.col("text_orig").alias("t"), F.xxhash64("text_orig").alias("h")).where("t is not null").where(keep).where(~suspicious(F.col("t")))
     w = Window.partitionBy("l").orderBy("h", "t")
-    top = rows.where(keep).distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
+    top = rows.distinct().withColumn("r", F.row_number().over(w)).where(F.col("r") <= most)
     out: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
     for r in top.select("l", "t", "r").collect():
-        out[r["l"]].append((r["r"], r["t"]))
+        out[r["l"]].append((r["r"], _noise.sub(" ", r["t"])))
     return {lang: [t for _, t in sorted(ts)] for lang, ts in out.items()}
 
 
@@ -384,13 +385,12 @@ def labelled_segments(messages: DataFrame, lexicon: DataFrame, gazetteer: DataFr
         bounds = np.cumsum(sizes)[:-1] * _SIZE
         own = Parser([t.reshape(-1, _SIZE) for t in np.split(table, bounds)], han)
         chars, trie = CharModel(counts), lookalikes.Trie(words)
-        noise = re.compile(r"https?:/\S+|www\.\S+|\S+@\S+\.\S+|[@#＠＃]\w+|(?i:<LINEBREAK>)|(?<!\w)" + _SMILEY)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for k, odd in enumerate(batch.column("odd").to_pylist()):
                 if odd:
                     texts[k] = lookalikes.consistent(repaired(texts[k], chars), trie)
-            texts = [noise.sub(" ", t) for t in texts]
+            texts = [_noise.sub(" ", t) for t in texts]
             langs, conf = [], []
             for lo in range(0, len(texts), 4096):
                 for s in own.segments(texts[lo : lo + 4096]):

@@ -74,7 +74,7 @@ def suspicious_pattern() -> str:
     """A Java pattern of what any chain could have made; rows without a match are clean."""
     seqs = [_class(READERS[r].chars(0xC2, 0xF4)) + _class(READERS[r].chars(0x80, 0xBF)) for k, _, r in CHAINS if k == "utf8"]
     high = "[\\x{80}-\\x{FF}\\x{152}\\x{153}\\x{160}\\x{161}\\x{178}\\x{17D}\\x{17E}\\x{192}\\x{2C6}\\x{2DC}\\x{2013}-\\x{203A}\\x{20AC}\\x{2122}]"
-    return "|".join([f"\\x{{FFFD}}|[\\x{{80}}-\\x{{9F}}]|{high}{{3}}", *dict.fromkeys(seqs)])
+    return "(?=[^\\x00-\\x7F])(?:" + "|".join([f"\\x{{FFFD}}|[\\x{{80}}-\\x{{9F}}]|{high}{{3}}", *dict.fromkeys(seqs)]) + ")"
 
 
 class CharModel:

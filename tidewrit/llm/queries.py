@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, copies, language, leaks, lookalikes, mojibake, sentences, tokens
+from . import abuse, copies, language, leaks, lookalikes, mojibake, sentences, subjects, tokens
 from .common import messages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,23 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_shares(*(table(spark, sf_dir, t) for t in ("documents", "doc_label", "subject_area", "benchmark")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.found(_shares(spark, sf_dir))
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _shares(spark, sf_dir).select("doc_id", F.explode("s").alias("s"))
+    return s.select("doc_id", "s.subject", "s.share", "s.confidence").where("share > 0").dropDuplicates(["doc_id", "subject"])
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(_shares(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1:2].isdigit()}
 
