@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import abuse, copies, language, leaks, lookalikes, mojibake, sentences, subjects, tokens
+from . import abuse, copies, language, leaks, lookalikes, mojibake, pii, sentences, subjects, tokens
 from .common import messages, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,18 @@ def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalized(recs, table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "gazetteer")).where("affected").select("field", "rec_id", "text", "fixed")
 
 
+#: The key of the pseudonyms; whoever runs this on real data passes one of their own.
+PSEUDONYM_KEY = b"change me"
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pieces(table(spark, sf_dir, "messages"), table(spark, sf_dir, "gazetteer"))
+
+
+def p4_anonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.anonymized(table(spark, sf_dir, "messages"), table(spark, sf_dir, "gazetteer"), PSEUDONYM_KEY)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.hidden_copies(table(spark, sf_dir, "messages"))
 
