@@ -52,7 +52,26 @@ def windows(t: Column, width: int = 5) -> Column:
     return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), keys)).otherwise(F.array().cast("array<array<string>>"))
 
 
+#: As many distinct words as there are characters here are written as one character each.
+_ALPHABET = "".join(map(chr, range(0x4E00, 0x9FA6)))
+
+
 def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance of two arrays of words.
+
+    Each distinct word of the two becomes one character, so that the built-in distance of strings does the work; pairs
+    with more distinct words than that allows go through the table itself.
+    """
+    both = F.struct(F.array_distinct(F.concat(a, b)).alias("v"), a.alias("a"), b.alias("b"))
+
+    def near(x: Column) -> Column:
+        code = lambda ws: F.array_join(F.transform(ws, lambda w: F.substring(F.lit(_ALPHABET), F.array_position(x["v"], w).cast("int"), F.lit(1))), "")
+        return F.when(F.size(x["v"]) <= len(_ALPHABET), F.levenshtein(code(x["a"]), code(x["b"]))).otherwise(table_distance(x["a"], x["b"]))
+
+    return F.transform(F.array(both), near)[0]
+
+
+def table_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance of two arrays of words: one row of the table folded over the hypothesis."""
     start = F.transform(F.sequence(F.lit(0), F.size(a)), lambda i: i.cast("int"))
 

@@ -20,6 +20,8 @@ def _cuts(a: str, b: str) -> list[tuple[int, int]]:
     Of equal scores a diagonal step is preferred, then a step in ``a``, then one in ``b``. Rows are filled along
     anti-diagonals, a whole one at a time.
     """
+    if a == b:
+        return [(i, i) for i, c in enumerate(a) if c == " "]
     n, m = len(a), len(b)
     x, y = np.array([ord(c) for c in a]), np.array([ord(c) for c in b])
     score = np.zeros((n + 1, m + 1), np.int32)
