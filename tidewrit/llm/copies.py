@@ -20,8 +20,8 @@ SALTS = 16
 
 def canonical(text: Column) -> Column:
     """Letters, their marks and decimal digits, without case; all else is dropped."""
-    folded = F.regexp_replace(F.lower(F.upper(text)), "[^\\p{L}\\p{M}\\p{Nd}]+", "")
-    return F.translate(folded, "ς", "σ")
+    folded = F.regexp_replace(F.lower(text), "[^\\p{L}\\p{M}\\p{Nd}]+", "")
+    return F.replace(F.translate(folded, "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def value_ids(values: Column) -> Column:

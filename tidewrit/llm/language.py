@@ -186,7 +186,8 @@ class Parser:
             ok = (before >= 0) & (c[np.maximum(before, 0)] == _SPACE)
             blank[ok] = s[before[ok]]
             cost[:, k] = np.where(latin, n + blank, 0)
-        long_latin = np.minimum(3.0, 0.5 + size * 0.4)
+        # To the other scripts' languages a Latin word is a foreign one: dear, but not so that a name changes language.
+        long_latin = np.maximum(np.minimum(3.0, 0.5 + size * 0.4), cost[:, : len(LATIN)].max(1))
         cost[:, len(LATIN) :] = np.where(latin, long_latin, 0)[:, None]
         for k, (lang, _) in enumerate(_SCRIPTS):
             mine = c[heads] == 64 + k

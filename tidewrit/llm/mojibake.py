@@ -172,13 +172,14 @@ def _one_script(word: str) -> bool:
 
 
 def evidence(text: str, model: CharModel) -> list[float]:
-    """Gain of each chain over clean, in the order of NAMES; the lossy entry is set if replacement characters stand."""
-    gains = [0.0, *(undo(text, c, model)[1] for c in CHAINS), 0.0]
-    if LOSSY in text:
-        best = max(gains)
-        gains = [g + (MOST_NATS if i == len(gains) - 1 else 0) for i, g in enumerate(gains)]
-        gains[-1] += best
-    return gains
+    """Gain of each chain over clean, in the order of NAMES.
+
+    A chain that finds nothing to undo can't have made the record: it gets the lower bound, as the lossy entry does
+    where no replacement character stands.
+    """
+    gains = [g if g > 0 else -MOST_NATS for g in (undo(text, c, model)[1] for c in CHAINS)]
+    lossy = MOST_NATS + max([0.0, *gains]) if LOSSY in text else -MOST_NATS
+    return [0.0, *gains, lossy]
 
 
 _PREFILTER = suspicious_pattern()
@@ -254,7 +255,7 @@ def priors(seen: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     vectors = seen.groupBy("field", "source", "gains").agg(F.count(F.lit(1)).alias("n"))
     pi = vectors.select("field", "source").distinct().withColumn("pi", F.array_repeat(F.lit(1.0 / k), k))
     for _ in range(rounds):
-        e = vectors.join(pi, ["field", "source"]).withColumn("w", F.zip_with("gains", "pi", lambda g, p: F.exp(g.cast("double") - F.lit(float(2 * MOST_NATS))) * p))
+        e = vectors.join(pi, ["field", "source"]).withColumn("w", F.zip_with("gains", "pi", lambda g, p: F.exp(g.cast("double") - F.array_max("gains")) * p))
         e = e.withColumn("z", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
         e = e.select("field", "source", "n", F.posexplode(F.transform("w", lambda x: x / F.col("z"))).alias("c", "r"))
         m = e.groupBy("field", "source", "c").agg(F.sum(F.col("n") * F.col("r")).alias("s"))
