@@ -37,6 +37,8 @@ NOTATIONS = {
 BY_NOTATION = {n: lang for lang, names in NOTATIONS.items() for n in names.split()}
 #: Labelled messages of each language that the automata are built from (the smallest hashes), and letters at most.
 TRAINING, LETTERS = 2_500, 40_000
+#: Letters of a language below which its half of the sample can't judge the other half.
+LEAST_LETTERS = 1_000
 #: Cost, in phrases, of a change of language between sentences and within one.
 CHANGE, CHANGE_WITHIN = 2.0, 6.0
 #: What must be gone before parsing: links, handles, tags, addresses, line breaks, smileys.
@@ -360,6 +362,9 @@ def fit(labelled: dict[str, list[str]]) -> Parser:
     for k in (0, 1):
         other = _parser(halves[1 - k], han)
         for lang in LATIN:
+            if sum(map(len, halves[1 - k][lang])) < LEAST_LETTERS:
+                kept[lang] += halves[k][lang]  # too little to judge by
+                continue
             if not halves[k][lang]:
                 continue
             owner, cost, _, _ = other.word_costs(halves[k][lang])
