@@ -34,7 +34,7 @@ MARGIN = 10
 #: Letters of an item that go into one block of the index; more items are searched in further blocks.
 BLOCK_LETTERS = 4_000_000
 #: Words of an item that a passage must span, and how many of them must be there as they are, up to spelling noise.
-LEAST_WORDS, LEAST_EQUAL, LEAST_SHARE = 12, 9, 0.6
+LEAST_WORDS, LEAST_EQUAL, LEAST_SHARE = 12, 9, 0.72
 
 
 def _fold_table() -> np.ndarray:
@@ -158,7 +158,8 @@ def common_in_order(item: list[str], part: list[str]) -> int:
 def aligned(item: list[str], part: list[str], band: int) -> tuple[int, int]:
     """Best local alignment of words within ``band`` words of the corners: (words of the item it spans, words equal).
 
-    Gain 2 for a word that is the same up to spelling noise, -1 for one changed, dropped or put in.
+    Gain 1 for a word that is the same up to spelling noise, -1 for one changed, dropped or put in, so that a passage isn't
+    drawn out into text that shares less than half of its words with the item.
     """
     best, prev = (0, 0, 0), {}
     none = (0, 0, 0)
@@ -170,7 +171,7 @@ def aligned(item: list[str], part: list[str], band: int) -> tuple[int, int]:
             b = part[j]
             eq = a == b or (a[0] == b[0] or a[-1] == b[-1]) and (same[a, b] if (a, b) in same else same.setdefault((a, b), near(a, b)))
             s, span, n = prev.get(j - 1, none)
-            c = (s + 2, span + 1, n + 1) if eq else (s - 1, span + 1, n)
+            c = (s + 1, span + 1, n + 1) if eq else (s - 1, span + 1, n)
             s, span, n = prev.get(j, none)
             c = max(c, (s - 1, span + 1, n), (left[0] - 1, left[1], left[2]))
             if c[0] > 0:
