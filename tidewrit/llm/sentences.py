@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 #: Messages that the model is fitted on, the same ones whatever the order of rows: the smallest hashes of their text.
-TRAINING = 9_000
+TRAINING = 8_000
 BITS = 18
+#: What counts against a boundary without stop or tail, beside the model's score.
+BARE = 1.5
 STOPS = ".!?…。！？｡．؟।॥۔"
 _EMOJI = "←-⇿⌀-➿⬀-⯿️‍\U0001f000-\U0001faff\U000e0020-\U000e007f"
 _SMILEY = r"(?:[:;=8][-'^o]?[()\[\]DPpdOoSs3/\\|*]+|[xX][-]?[DdPp)]+|[BO]-?\)|<+/?3+|\^[_.]*\^|:'\(|-_+-)(?!\w)"
@@ -85,10 +87,17 @@ class Places:
         self.text = text
         units = [(m.lastgroup, m[0], m.start(), m.end()) for m in UNIT.finditer(text)]
         # Straight quotes open and close in turn; a tail, a closing mark or a stop belongs to what precedes it.
-        out, opened, double = [], 0, False
+        # Guillemets open in either direction, and a high mark closes what a low one opened.
+        out, double, angle, low = [], False, False, False
         for kind, s, a, b in units:
             if kind == "quote":
                 kind, double = ("close" if double else "open"), not double
+            elif s in "«»":
+                kind, angle = ("close" if angle else "open"), not angle
+            elif s == "„":
+                low = True
+            elif s in "“”" and low:
+                kind, low = "close", False
             out.append((kind, s, a, b))
         self.units = out
         self.ends, self.starts, self.features, self.kinds, self.silver = [], [], [], [], []
@@ -109,7 +118,7 @@ class Places:
             elif kind == "tail":
                 tail = True
             elif kind == "open":
-                depth += 1
+                depth += s not in "¿¡"
                 stop, tail, closed = "", False, False
             elif kind == "close":
                 depth = max(0, depth - 1)
@@ -181,8 +190,9 @@ class Silver:
             if m:
                 self.starters[word_features[m[1]][0]] += 1
             for m in re.finditer(r"([\w'’]+)[!?]+\s+(?:[\"“„«(]\s?)?([^\W\d_][\w'’]*)", t):
-                self.enders[word_features[m[1]][0]] += 1
-                self.starters[word_features[m[2]][0]] += 1
+                if not m[2][0].islower():
+                    self.enders[word_features[m[1]][0]] += 1
+                    self.starters[word_features[m[2]][0]] += 1
 
     def label(self, p, tail, closed, glued, depth, w, key, nkey, nw_kind, nk, ws, ns, kind, seen, wide, lower) -> int:
         if depth:
@@ -201,7 +211,7 @@ class Silver:
         if p in "。।S":
             return -1 if closed else 1
         if wide == "T":
-            return 0 if w.endswith("ๆ") or len(w) < 5 else 1 if len(w) > 12 and len(nkey) > 8 else -1
+            return 0 if w.endswith("ๆ") or len(w) < 6 or len(nkey) < 4 or nk == "open" else 1 if len(w) > 7 and len(nkey) > 8 else -1
         if tail:
             return 1 if ns in "Un" or lower and nkey in self.starters else -1
         if p == "..." and seen <= 1 and not tail:
@@ -213,9 +223,13 @@ class Silver:
         if p == ".":
             if glued:
                 return 1 if ns == "U" and len(w) > 2 and ws in "lU" and nkey in self.starters else 0
+            if ws == "n" and "ऀ" <= w[0] <= "ॿ":
+                return 0  # these scripts end sentences with marks of their own
             if key in self.abbreviations or len(w) == 1:
-                return 0 if ns in "l0" or ns == "U" and nkey not in self.starters else -1
-            if ns in "Un":
+                return 0 if ns in "l0n" or ns == "U" and nkey not in self.starters else -1
+            if ws == "0" and ns == "U":
+                return 0 if nkey not in self.starters else -1
+            if ns in "Un" or ns == "I" and len(w) > 3:
                 return 1
             return 1 if lower and ns == "l" and len(w) > 3 and nkey in self.starters else 1 if ns == "0" and len(w) > 4 else 0 if ns == "l" and not lower and key not in self.enders else -1
         if p == "...":
@@ -236,7 +250,10 @@ class Model:
         stay, cut, back = 0.0, -1e9, []
         last_stop = None
         for s, (p, tail) in zip(scores.tolist(), places.kinds):
-            near = -1.0 if p in "0," and not tail else 0.0
+            near = 0.0
+            if p in "0," and not tail:
+                # Joined training sentences overstate how often a sentence ends without any mark.
+                near, s = -1.0, s - BARE
             best = stay if stay >= cut else cut
             from_cut = cut + near
             back.append((stay < cut, stay < from_cut))
@@ -309,6 +326,15 @@ def train(texts: list[str], rounds: int = 6) -> Model:
 
     for t in texts:
         p = add(t)
+        # The same text without its case has the same boundaries.
+        for other in (t.lower(), t.upper()) if rng.random() < 0.5 else (t.lower(),):
+            if other != t and len(other) == len(t):
+                known = {end: label for end, label in zip(p.ends, p.silver) if label >= 0}
+                q = Places(other, None)
+                for f, end in zip(q.features, q.ends):
+                    if end in known:
+                        x.append(f)
+                        y.append(known[end])
         start, plain = 0, True
         for end, label in [*zip(p.ends, p.silver), (len(t), 1)]:
             if label == 1:
