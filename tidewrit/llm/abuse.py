@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import lookalikes
-from .common import Memo, bounded
+from .common import Memo, bounded, hash_bound
 from .mojibake import CharModel, clean_characters, repaired, suspicious
 from .sentences import text_hash
 
@@ -335,7 +335,9 @@ def fit(judged: list[tuple[str, float]], terms: list[tuple[str, str]]) -> Detect
 def training(messages: DataFrame, labels: DataFrame, most: int = TRAINING) -> list[tuple[str, float]]:
     """At most ``most`` judged texts with the probability, by the votes, that they are abusive; smallest hashes of the id."""
     ones, zeros = F.sum(F.col("abusive").cast("int")), F.sum(1 - F.col("abusive").cast("int"))
-    votes = labels.where("abusive in (0, 1) and msg_id is not null").groupBy("msg_id").agg(ones.alias("a"), zeros.alias("b"))
+    # A message has few judgements, so as many times fewer messages than judgements lie below the bound.
+    near = F.xxhash64("msg_id") <= F.lit(hash_bound(most, labels.count(), 12.0))
+    votes = labels.where("abusive in (0, 1) and msg_id is not null").where(near).groupBy("msg_id").agg(ones.alias("a"), zeros.alias("b"))
     odds = F.lit(PRIOR / (1 - PRIOR)) * F.pow(F.lit((1 - ERROR) / ERROR), F.col("a") - F.col("b"))
     votes = votes.select("msg_id", (odds / (1 + odds)).alias("y"))
     votes = votes.orderBy(F.xxhash64("msg_id"), "msg_id").limit(most)

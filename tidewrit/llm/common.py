@@ -35,6 +35,15 @@ def bounded(df: DataFrame, most: int, what: str) -> list:
     return rows
 
 
+def hash_bound(most: int, rows: int, spare: float = 4.0) -> int:
+    """A bound on 64-bit hashes below which ``spare`` times ``most`` of ``rows`` uniformly hashed rows lie.
+
+    Taking the smallest hashes of a table would send that many rows of every partition to the driver; below the bound
+    there are few rows in all, however large the table is.
+    """
+    return min(2**63 - 1, -(2**63) + int(min(1.0, spare * most / max(1, rows)) * 2**64))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir`` (set here only where it is unset, as in tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lookalikes
-from .common import code_points
+from .common import code_points, hash_bound
 from .mojibake import CharModel, clean_characters, repaired, suspicious
 from .sentences import _SMILEY
 
@@ -291,7 +291,7 @@ def training(messages: DataFrame, most: int = TRAINING) -> dict[str, list[str]]:
     counts = messages.select(label.alias("l")).where(F.col("l").isin(*LATIN, "zh", "ja")).groupBy("l").count().collect()
     keep = F.lit(False)
     for r in counts:
-        h = min(2**63 - 1, -(2**63) + int(min(1.0, 8.0 * most / r["count"]) * 2**64))
+        h = hash_bound(most, r["count"], 8.0)
         keep = keep | ((F.col("l") == r["l"]) & (F.col("h") <= F.lit(h)))
     rows = messages.select(label.alias("l"), F.col("text_orig").alias("t"), F.xxhash64("text_orig").alias("h")).where("t is not null").where(keep).where(~suspicious(F.col("t")))
     w = Window.partitionBy("l").orderBy("h", "t")

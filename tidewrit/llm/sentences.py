@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, hash_bound
 
 #: Messages that the model is fitted on, the same ones whatever the order of rows: the smallest hashes of their text.
 TRAINING = 8_000
@@ -403,7 +403,8 @@ def train(texts: list[str], rounds: int = 6) -> Model:
 def training_texts(messages: DataFrame, text_col: str = "text_orig", most: int = TRAINING) -> list[str]:
     """At most ``most`` texts for fitting: those with the smallest hash, whatever the table's size or order."""
     t = F.col(text_col)
-    rows = messages.where(t.isNotNull() & t.rlike("\\p{L}")).select(t.alias("t"), F.xxhash64(t).alias("h")).orderBy("h", "t").limit(most).collect()
+    bound = hash_bound(most, messages.count())
+    rows = messages.select(t.alias("t"), F.xxhash64(t).alias("h")).where((F.col("h") <= F.lit(bound)) & F.col("t").rlike("\\p{L}")).distinct().orderBy("h", "t").limit(most).collect()
     return [r[0] for r in rows]
 
 
