@@ -124,6 +124,26 @@ def test_repair_round_trip(write, read):
     assert mojibake.repaired(text, model) == text
 
 
+RUSSIAN = "Младшая сестра уснула на диване. Знаешь, моя соседка смотрела на дождь, и никто не заметил."
+
+
+@pytest.mark.parametrize("write, read", [("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("koi8-r", "cp866"), ("cp866", "koi8-r"), ("iso8859-5", "cp1251"), ("cp866", "latin-1")])
+def test_cyrillic_read_as_cyrillic(write, read):
+    model = mojibake.CharModel({ord(c): 20 * RUSSIAN.count(c) for c in RUSSIAN if c > "\x7f"})
+    bad = garble(RUSSIAN, write, read)
+    assert mojibake.repaired(bad, model) == RUSSIAN
+    assert mojibake.repaired(f"@ann {RUSSIAN} {bad}", model) == f"@ann {RUSSIAN} {RUSSIAN}"
+    for clean in (RUSSIAN, RUSSIAN.upper(), RUSSIAN.swapcase()):
+        assert mojibake.repaired(clean, model) == clean
+
+
+def test_cyrillic_records(spark):
+    bad = [garble(RUSSIAN, "koi8-r", "cp1251"), garble(RUSSIAN, "cp866", "cp1251"), "@ann Никто не заметил. " + garble("Моя соседка смотрела на дождь.", "koi8-r", "cp1251")]
+    recs = mojibake.records(messages(spark, *[RUSSIAN] * 20, *bad, RUSSIAN.swapcase()), spark.createDataFrame([(8, None)], "post_id bigint, tgt array<string>"))
+    assert {r["rec_id"] for r in mojibake.garbled(recs).collect()} == {21, 22, 23}
+    assert {r["fixed"] for r in mojibake.restored(recs).collect()} == {RUSSIAN, "@ann Никто не заметил. Моя соседка смотрела на дождь."}
+
+
 def test_garbled_records(spark):
     clean = ["een café’s menu…", "crème brûlée", "één idee", "naïve", "“déjà vu”"] * 6
     df = messages(spark, *clean, garble("crème brûlée", "utf-8", "cp1252"), "ge�rriteerd", garble(garble("één café", "utf-8", "cp1252"), "utf-8", "cp1252"), None, "", "ÜBLICH", "plain")

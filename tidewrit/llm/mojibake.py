@@ -10,6 +10,8 @@ with the priors of their source; nothing but the character counts is collected.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -21,19 +23,27 @@ from pyspark.sql import functions as F
 
 from .common import code_points
 
+#: Single-byte encodings of Cyrillic that are read as each other.
+CYRILLIC = ("koi8-r", "cp1251", "cp866", "iso8859-5")
 #: The chains: kind, encoding written, encoding it was read in. "utf8" chains undo UTF-8 sequences where they stand,
-#: "twice" does so two times, "whole" undoes whole words, "c1" undoes control characters.
+#: "twice" does so two times, "whole" undoes whole words, "c1" undoes control characters, "cyrillic" undoes runs of
+#: words between two encodings of Cyrillic.
 CHAINS: list[tuple[str, str, str]] = [
     *[("utf8", "utf-8", r) for r in ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "iso8859-15", "cp1254")],
     *[("twice", "utf-8", r) for r in ("cp1252", "latin-1", "cp1250", "mac_roman")],
-    *[("whole", w, r) for w in ("cp1251", "koi8-r", "gbk", "shift_jis", "euc-jp", "big5", "cp1256", "tis-620", "utf-16-le") for r in ("cp1252", "latin-1") if w != "utf-16-le"],
+    *[("whole", w, r) for w in (*CYRILLIC, "gbk", "shift_jis", "euc-jp", "big5", "cp1256", "tis-620") for r in ("cp1252", "latin-1")],
     ("c1", "cp1252", "latin-1"),
+    *[("cyrillic", w, r) for w, r in itertools.permutations(CYRILLIC, 2)],
 ]
 NAMES = ["clean", *(f"{k}:{w}>{r}" for k, w, r in CHAINS), "lossy"]
 LOSSY = "\ufffd"
 #: Evidence is rounded to whole nats and held within this bound, so that records fall into few distinct vectors.
 MOST_NATS = 30
 ROUNDS = 4
+#: Nats that the begin of a run of words of a "cyrillic" chain costs.
+RUN_NATS = 6.0
+#: Nats of a word in capitals and of one in mixed case.
+CASE_NATS = (-0.5, -4.0)
 #: Most distinct characters of the clean-character model: there are no more code points.
 MOST_CHARS = 1_114_112
 
@@ -61,20 +71,57 @@ class _Reader(dict):
         return "".join(sorted(chr(c) for c, b in self.items() if lo <= ord(b) <= hi and c > 127))
 
 
+@functools.lru_cache(maxsize=64)
+def _bytes_of(text: str, read: str) -> str:
+    """The text's bytes in an encoding as characters; the chains of one text share them."""
+    return text.translate(READERS[read])
+
+
 READERS = {r: _Reader(r) for r in sorted({r for _, _, r in CHAINS})}
 _UTF8 = re.compile("[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+_HIGH = re.compile("[\x80-\xff]")
 _WORD = re.compile(r"[^\s\0]+")
+#: Words of encodings whose letters may be read as no-break spaces or control characters.
+_ASCII_WORD = re.compile("[^\t-\r\x1c- \0]+")
+_RUSSIAN = "".join(map(chr, [*range(0x410, 0x450), 0x401, 0x451]))
+_RUSSIAN_TEXT = {*_RUSSIAN, *"«»“”„‘’…–—№\xa0"}
+#: What any letter of one encoding of Cyrillic may look like in another one.
+_CYRILLIC_TRACE = re.compile("[\u0400-\u045f\u0490\u0491\u2500-\u25ff]")
 
 
 def _class(chars: str) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):X}}}" for c in chars) + "]"
+    """A Java class of characters by ranges: Java asks the members of a class one after the other."""
+    codes = sorted(map(ord, set(chars)))
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
 
 
 def suspicious_pattern() -> str:
     """A Java pattern of what any chain could have made; rows without a match are clean."""
     seqs = [_class(READERS[r].chars(0xC2, 0xF4)) + _class(READERS[r].chars(0x80, 0xBF)) for k, _, r in CHAINS if k == "utf8"]
     high = "[\\x{80}-\\x{FF}\\x{152}\\x{153}\\x{160}\\x{161}\\x{178}\\x{17D}\\x{17E}\\x{192}\\x{2C6}\\x{2DC}\\x{2013}-\\x{203A}\\x{20AC}\\x{2122}]"
-    return "(?=[^\\x00-\\x7F])(?:" + "|".join([f"\\x{{FFFD}}|[\\x{{80}}-\\x{{9F}}]|{high}{{3}}", *dict.fromkeys(seqs)]) + ")"
+    return "(?=[^\\x00-\\x7F])(?:" + "|".join([f"\\x{{FFFD}}|[\\x{{80}}-\\x{{9F}}]|{high}{{3}}", *dict.fromkeys(seqs), *_cyrillic_patterns()]) + ")"
+
+
+def _cyrillic_patterns() -> list[str]:
+    """What letters of one encoding of Cyrillic look like in another one.
+
+    The cases are swapped, so small letters give capitals in a row, and capitals give words without vowels, with a sign
+    first or with long runs of consonants; letters without a counterpart give symbols within words.
+    """
+    odd = set()
+    for w, r in itertools.permutations(CYRILLIC, 2):
+        odd |= {c for c in _RUSSIAN.encode(w).decode(r, "ignore") if not c.isspace()}
+    odd -= {*_RUSSIAN, *"‚„…†‡€‰‹›‘’“”•–—™«»°·№"}
+    # Whole blocks instead of single symbols and foreign letters of Cyrillic, since ranges are cheaper.
+    symbols = _class("".join(c for c in odd if c < "\u0400"))[:-1] + "\\x{402}-\\x{40F}\\x{452}-\\x{45F}\\x{490}\\x{491}\\x{2219}-\\x{25A0}]"
+    letter, mute = "[\\x{400}-\\x{45F}]", _class("бвгджзйклмнпрстфхцчшщъь")
+    return [
+        "[\\x{400}-\\x{42F}]{2}",
+        f"(?<!{letter})(?:{_class('ъыь')}{letter}|{mute}{{3,}}(?!{letter}))|{mute}{{5}}",
+        f"{symbols}{{2}}|{letter}{symbols}{letter}",
+    ]
 
 
 class CharModel:
@@ -126,11 +173,17 @@ def undo(text: str, chain: tuple[str, str, str], model: CharModel) -> tuple[str,
                     c = d
             out.append(c)
         return "".join(out), gain
-    mapped = text.translate(READERS[read])
+    if kind == "cyrillic" and not _CYRILLIC_TRACE.search(text):
+        return text, 0.0
+    mapped = _bytes_of(text, read)
+    if kind == "cyrillic":
+        return _undo_runs(text, mapped, written, model)
     if kind == "whole":
+        if not _HIGH.search(mapped):
+            return text, 0.0
         gain, out, at = 0.0, [], 0
         strong = False
-        for m in _WORD.finditer(mapped):
+        for m in (_ASCII_WORD if written == "cp866" else _WORD).finditer(mapped):
             w = m[0]
             if w.isascii():
                 continue
@@ -164,6 +217,57 @@ def undo(text: str, chain: tuple[str, str, str], model: CharModel) -> tuple[str,
     return once, gain
 
 
+def _as_russian(word: str, model: CharModel) -> float:
+    """Log likelihood of a word without case, so that text in capitals is no damage, and of its case apart.
+
+    The letter io counts as ie: its sequences look like UTF-8 read as cp1251, so the counts lack it.
+    """
+    letters = "".join(filter(str.isalpha, word))
+    case = 0.0 if letters.islower() or letters[1:].islower() else CASE_NATS[0] if letters.isupper() else CASE_NATS[1]
+    return model(word.lower().replace("ё", "е")) + case * (len(letters) > 1)
+
+
+def _undo_runs(text: str, mapped: str, written: str, model: CharModel) -> tuple[str, float]:
+    """The runs of words undone that are worth the most together, and their gain.
+
+    A record may be damaged in some of its sentences only, and any word can be decoded, so a run ends where the words
+    get worse.
+    """
+    words: list[tuple[int, int, str, float]] = []
+    for m in _ASCII_WORD.finditer(mapped):
+        if m[0].isascii():
+            continue
+        d, was = m[0].encode("latin-1").decode(written, "replace"), text[m.start() : m.end()]
+        if all(c in _RUSSIAN_TEXT or c < "\x80" and not c.isalpha() for c in d):
+            words.append((*m.span(), d, _as_russian(d, model) - _as_russian(was, model)))
+        elif _CYRILLIC_TRACE.search(was):
+            words.append((*m.span(), was, -RUN_NATS))
+    # The best value of the words so far, outside of a run and within one.
+    outside, within = 0.0, -math.inf
+    ways: list[tuple[bool, bool]] = []
+    for *_, g in words:
+        opens, closes = outside - RUN_NATS > within, within > outside
+        ways.append((opens, closes))
+        outside, within = max(outside, within), max(outside - RUN_NATS, within) + g
+    inside, chosen = within > outside, []
+    for i in range(len(words) - 1, -1, -1):
+        opens, closes = ways[i]
+        if inside:
+            chosen.append(i)
+            inside = not opens
+        else:
+            inside = closes
+    chosen.reverse()
+    if not any(sum(c > "\x7f" for c in words[i][2]) >= 3 and words[i][3] > 0 for i in chosen):
+        return text, 0.0
+    out, at = [], 0
+    for i in chosen:
+        a, b, d, _ = words[i]
+        out += [text[at:a], d]
+        at = b
+    return "".join([*out, text[at:]]), max(outside, within)
+
+
 def _one_script(word: str) -> bool:
     """Whether a decoded word has foreign letters and no accented or plain Latin letters between them."""
     foreign = sum(c > "\u036f" for c in word)
