@@ -195,6 +195,17 @@ def test_pieces(spark):
     assert pii.pieces(df.limit(0), gaz).count() == 0
 
 
+def test_names_of_all_messages(spark):
+    rng = random.Random(3)
+    family = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)).title() for _ in range(12)]
+    rare = [f"Yesterday we met {a}. {f} and saw {f} near the old harbour." for f in family for a in "AB"]
+    learned = spark.createDataFrame([(t,) for t in rare], "text_orig string")
+    fill = spark.range(300_000).selectExpr("concat('nothing new here ', id) text_orig")
+    _, gaz = word_tables(spark, "cat")
+    assert {pii._key(f) for f in family} <= pii.lexicon(fill.unionByName(learned), gaz).family
+    assert pii.lexicon(fill.limit(0), gaz).family == set()
+
+
 # Problem 5
 
 

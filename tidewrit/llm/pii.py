@@ -14,17 +14,19 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded, hash_bound
+from .common import Memo, bounded, written
 
-#: Messages that names and streets are learned from: those with the smallest hash of their text.
-TRAINING = 60_000
+#: Entries of partial counts that a task holds before it sends them on.
+MOST_PARTIAL = 300_000
+#: Most given names, family names, streets or towns: they are sent to tasks.
+MOST_LEARNED = 5_000_000
 KINDS = ["email", "phone", "id_number", "street_address", "person_name"]
 
 
@@ -124,68 +126,75 @@ _OPENERS = {"am", "an", "auf", "zum", "zur", "c"}
 _ANY_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 
 
+_NOT_PROSE = re.compile(r"https?://\S+|[@#]\w+|<LINEBREAK>|\S+@\S+")
+_TWO_WORD_TOWN = re.compile(rf"(?:\d{{5}}|\d{{4}} [A-Z]{{2}}) ({_CAP} {_CAP})|, ({_CAP} {_CAP}) (?:\d{{5}}|[A-Z]{{2}}\d \d[A-Z]{{2}})")
+
+
 def _titled(text: str) -> bool:
     """Whether nearly all words have capitals, so that capitals tell nothing."""
     words = _ANY_WORD.findall(text)
     return sum(w[0].isupper() for w in words) > 0.7 * len(words) and len(words) > 5
 
 
-def learn(texts: list[str], gazetteer: list[str]) -> Lexicon:
-    """Given and family names, streets and two-word towns, from texts in ordinary case."""
-    plain = [t for t in texts if not t.islower() and not t.isupper() and not _titled(t)]
-    lower, upper, inner = Counter(), Counter(), Counter()
-    after_initial, pairs = Counter(), Counter()
-    streets, towns = Counter(), Counter()
-    gaz = {k for g in gazetteer for k in [_key(g)] if " " not in g}
-    both = {_key(g) for g in gazetteer if " " in g}
-    for t in plain:
-        t = re.sub(r"https?://\S+|[@#]\w+|<LINEBREAK>|\S+@\S+", " . ", t)
-        for m in re.finditer(r"[^\W\d_][\w'’-]*", t):
-            k = _key(m[0])
-            if m[0][0].islower():
-                lower[k] += 1
-            else:
-                upper[k] += 1
-                before = t[: m.start()].rstrip()
-                inner[k] += bool(before) and before[-1] not in ".!?…:\"“„«-"
-        for m in _NAME_PAIR.finditer(t):
+def counted(texts: Iterator[str]) -> Iterator[Counter]:
+    """What texts in ordinary case tell about names, streets and two-word towns, as partial counts.
+
+    Keys are (what, word, second word or None): words by case, family names after an initial, pairs of a given and a
+    family name, streets and towns.
+    """
+    n: Counter = Counter()
+    small: Counter = Counter()
+
+    def whole() -> Counter:
+        for w, k in small.items():
+            n["lower", word_key[w], None] += k
+        return n
+
+    for t in texts:
+        if t.islower() or t.isupper() or _titled(t):
+            continue
+        if "@" in t or "#" in t or "<" in t or "http" in t:
+            t = _NOT_PROSE.sub(" . ", t)
+        capital = 0
+        lower = []
+        for m in _ANY_WORD.finditer(t):
+            w = m[0]
+            if w[0].islower():
+                lower.append(w)
+                continue
+            capital += 1
+            k = word_key[w]
+            n["upper", k, None] += 1
+            at = m.start() - 1
+            while at >= 0 and t[at].isspace():
+                at -= 1
+            if at >= 0 and t[at] not in ".!?…:\"“„«-":
+                n["inner", k, None] += 1
+        small.update(lower)
+        if not capital:
+            continue
+        for m in _NAME_PAIR.finditer(t) if capital > 1 else ():
             first, last = m[1], _key(m[3])
             if len(first) == 2 and first[1] == ".":
-                after_initial[last] += 1
+                n["initial", last, None] += 1
             else:
-                pairs[_key(first), last] += 1
-        for m in _COMMA_PAIR.finditer(t):
-            if m[1].split()[-1].isupper() and len(m[1].split()[-1]) > 2:
-                pairs[_key(m[2]), _key(m[1].split()[-1])] += 1
-        for s, rx in enumerate(STREETS):
-            for m in rx.finditer(t):
-                if _cased(m["name"], s):
-                    streets[_key(m["name"])] += 1
-        for m in re.finditer(rf"(?:\d{{5}}|\d{{4}} [A-Z]{{2}}) ({_CAP} {_CAP})|, ({_CAP} {_CAP}) (?:\d{{5}}|[A-Z]{{2}}\d \d[A-Z]{{2}})", t):
-            towns[_key(m[1] or m[2])] += 1
-
-    def namelike(k: str) -> bool:
-        return len(k) > 2 and (k in gaz or upper[k] > 1.5 * lower[k] and inner[k] >= 0.25 * upper[k])
-
-    streetish = {w for s in streets for w in s.split()}
-    partners: dict[str, set[str]] = defaultdict(set)
-    for (a, b), _ in pairs.items():
-        partners[b].add(a)
-    family = {k for k, n in after_initial.items() if n >= 2 and namelike(k) and k not in streetish}
-    given: set[str] = set()
-    for _ in range(3):
-        given_n: Counter = Counter()
-        for (a, b), _n in pairs.items():
-            if b in family:
-                for part in a.split("-"):
-                    given_n[part] += 1
-        given = {k for k, n in given_n.items() if (n >= 3 or n >= 1 and k in gaz) and (namelike(k) or k in gaz) and k not in family}
-        family_n: Counter = Counter()
-        for (a, b), _n in pairs.items():
-            if any(part in given for part in a.split("-")) and a.split("-")[0] in given:
-                family_n[b] += 1
-        family |= {k for k, n in family_n.items() if (n >= 3 or k in gaz) and namelike(k) and k not in given}
-    return Lexicon(given, family, {s for s, n in streets.items() if n >= 2 and not _BARE.fullmatch(s)}, {t for t, n in towns.items() if n >= 2} | both)
+                n["pair", _key(first), last] += 1
+        if "," in t and capital > 1:
+            for m in _COMMA_PAIR.finditer(t):
+                if m[1].split()[-1].isupper() and len(m[1].split()[-1]) > 2:
+                    n["pair", _key(m[2]), _key(m[1].split()[-1])] += 1
+        if _DIGIT.search(t):
+            if any(k.endswith(_ENDINGS) or k in _OPENERS for k in map(word_key.__getitem__, _ANY_WORD.findall(t))):
+                for s, rx in enumerate(STREETS):
+                    for m in rx.finditer(t):
+                        if _cased(m["name"], s):
+                            n["street", _key(m["name"]), None] += 1
+            for m in _TWO_WORD_TOWN.finditer(t):
+                n["town", _key(m[1] or m[2]), None] += 1
+        if len(n) + len(small) > MOST_PARTIAL:
+            yield whole()
+            n, small = Counter(), Counter()
+    yield whole()
 
 
 def _cased(name: str, kind: int) -> bool:
@@ -404,17 +413,47 @@ def replaced(text: str, pieces: list[tuple[str, int, int]], key: bytes) -> str:
     return "".join([*out, text[at:]])
 
 
-def training(messages: DataFrame, most: int = TRAINING) -> list[str]:
-    """At most ``most`` distinct texts: the smallest hashes. A bound on the hash keeps the sort small."""
-    t = F.col("text_orig")
-    bound = hash_bound(most, messages.count())
-    h = F.xxhash64(t)
-    return [r[0] for r in messages.where(t.isNotNull() & (h <= F.lit(bound))).select(t.alias("t"), h.alias("h")).distinct().orderBy("h", "t").limit(most).collect()]
-
-
 def lexicon(messages: DataFrame, gazetteer: DataFrame) -> Lexicon:
+    """Given and family names, streets and two-word towns, from all distinct texts in ordinary case.
+
+    Only entries that pass their thresholds reach the driver.
+    """
+    spark = messages.sparkSession
     keys = [r[0] for r in bounded(gazetteer.select("key").where("key is not null"), 500_000, "gazetteer")]
-    return learn(training(messages), keys)
+    gaz = {_key(g) for g in keys if " " not in g}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n in counted(t for batch in batches for t in batch.column(0).to_pylist()):
+            what, a, b = zip(*n) if n else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(map(int, n.values())), pa.int64())], names=["what", "a", "b", "n"])
+
+    def one_column(values: set[str], name: str) -> DataFrame:
+        return spark.createDataFrame([(v,) for v in values], f"{name} string")
+
+    def some(df: DataFrame, what: str) -> set[str]:
+        return {r[0] for r in bounded(df, MOST_LEARNED, what)}
+
+    texts = messages.select("text_orig").where("text_orig is not null").distinct()
+    n = written(texts.mapInArrow(run, "what string, a string, b string, n bigint").groupBy("what", "a", "b").agg(F.sum("n").alias("n")))
+    known = one_column(gaz, "a").withColumn("gaz", F.lit(True))
+    of = {w: F.coalesce(F.sum(F.when(F.col("what") == w, F.col("n"))), F.lit(0)) for w in ("upper", "lower", "inner")}
+    words = n.where("what in ('upper', 'lower', 'inner')").groupBy("a").agg(*[c.alias(w) for w, c in of.items()]).join(known, "a", "full")
+    # Words that are written like names; ``gaz`` tells those of the gazetteer, also short ones.
+    words = written(words.where("gaz or length(a) > 2 and upper > 1.5 * lower and inner >= 0.25 * upper").selectExpr("a", "coalesce(gaz, false) gaz"))
+    pairs = n.where("what = 'pair'").join(words.where("length(a) > 2").selectExpr("a b", "gaz"), "b")
+    pairs = written(pairs.selectExpr("a", "b", "gaz"))
+    streetish = n.where("what = 'street'").select(F.explode(F.split("a", "\\s+")).alias("a")).distinct()
+    initial = n.where("what = 'initial' and n >= 2").join(words.where("length(a) > 2"), "a", "left_semi").join(streetish, "a", "left_anti")
+    family = some(initial.select("a"), "family names")
+    given: set[str] = set()
+    for _ in range(3):
+        parts = pairs.join(one_column(family, "b"), "b", "left_semi").select(F.explode(F.split("a", "-")).alias("a")).groupBy("a").count()
+        given = some(parts.join(words, "a").where("gaz or count >= 3 and length(a) > 2").select("a"), "given names") - family
+        last = pairs.withColumn("a", F.split("a", "-")[0]).join(one_column(given, "a"), "a", "left_semi").groupBy("b", "gaz").count()
+        family |= some(last.where("gaz or count >= 3").select("b"), "family names") - given
+    streets = some(n.where("what = 'street' and n >= 2").select("a"), "streets")
+    towns = some(n.where("what = 'town' and n >= 2").select("a"), "towns")
+    return Lexicon(given, family, {s for s in streets if not _BARE.fullmatch(s)}, towns | {_key(g) for g in keys if " " in g})
 
 
 def pieces(messages: DataFrame, gazetteer: DataFrame) -> DataFrame:
