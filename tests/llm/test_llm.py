@@ -275,6 +275,19 @@ def test_abuse(spark):
     rates = {r["channel"]: (r["n_messages"], r["n_found"]) for r in abuse.rates(s).collect()}
     assert rates["twe"] == (1, 1) and rates[None][1] == 1
     assert abuse.scored(df.limit(0), lab.limit(0), terms, lex, gaz).count() == 0
+    # Offsets are those of the text as delivered, and every toxic sentence has its span.
+    odd = "Caf\u00c3\u00a9 time. Nobody likes you m\u200bor\u043en! " + "our bus was late again. " * 50 + "What a m0r0n you are."
+    odds = df.unionByName(messages(spark, odd).withColumn("msg_id", F.lit(2000).cast("bigint")))
+    (r,) = abuse.scored(odds, lab, terms, lex, gaz).where("msg_id = 2000").collect()
+    parts = [odd[a:b] for a, b in r["spans"]]
+    assert r["category"] == "abuse" and len(parts) >= 2 and "m\u200bor\u043en" in parts[0] and "m0r0n" in parts[-1]
+
+
+def test_places_in_changed_text():
+    for a, b in (("abc", "abc"), ("x\u200by z", "xy z"), ("caf\u00c3\u00a9 au lait", "caf\u00e9 au lait"), ("", ""), ("abc", "")):
+        at = abuse.places_in(a, b)
+        assert len(at) == len(b) and all(0 <= i <= j <= len(a) for i, j in at)
+        assert all(b[k] == a[i] for k, (i, j) in enumerate(at) if j == i + 1 and b[k].isascii() and a[i].isascii())
 
 
 def test_marginals_equal_enumeration():

@@ -80,7 +80,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _abuse(spark, sf_dir).select("msg_id", "score", "category", "start_pos", "end_pos").dropDuplicates(["msg_id"])
+    return _abuse(spark, sf_dir).select("msg_id", "score", "category", "spans").dropDuplicates(["msg_id"])
 
 
 def p7_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
