@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tidewrit.llm import abuse, common, copies, language, leaks, lookalikes, mojibake, pii, sentences, subjects, tokens
+from tidewrit.llm import abuse, common, copies, language, leaks, lookalikes, mojibake, pii, pseudonyms, sentences, subjects, tokens
 
 MESSAGES = "msg_id bigint, text_orig string, text_prepro string, channel string, lang string, keep_id string, id string"
 
@@ -161,18 +161,61 @@ def test_garbled_records(spark):
 
 @pytest.mark.parametrize("value", ["0612345678", "12", "1", "999982369", "00"])
 def test_feistel_is_a_permutation(value):
-    assert pii.feistel(pii.feistel(value, b"k", "t"), b"k", "t", back=True) == value
-    assert len({pii.feistel(f"{i:03d}", b"k", "t") for i in range(1000)}) == 1000
+    assert pseudonyms.feistel(pseudonyms.feistel(value, b"k", "t"), b"k", "t", back=True) == value
+    assert len({pseudonyms.feistel(f"{i:03d}", b"k", "t") for i in range(1000)}) == 1000
+
+
+def undone(kind, value):
+    new = pseudonyms.pseudonym(kind, value, b"k")
+    assert pseudonyms.pseudonym(kind, new, b"k", back=True) == value
+    return new
 
 
 def test_pseudonyms_keep_format_and_validity():
-    p = pii.pseudonym("id_number", "999982369", b"k")
-    assert pii.eleven_proof(p) and p != "999982369" and pii.pseudonym("id_number", p, b"k", back=True) == "999982369"
+    p = undone("id_number", "999982369")
+    assert pseudonyms.eleven_proof(p) and p != "999982369"
     iban = "DE89 3704 0044 0532 0130 00"
-    q = pii.pseudonym("id_number", iban, b"k")
-    assert pii.iban_valid(q) and q[:2] == "DE" and len(q) == len(iban) and pii.pseudonym("id_number", q, b"k", back=True) == iban
-    assert re.fullmatch(r"\+\d\d \d \d\d \d\d \d\d \d\d", pii.pseudonym("phone", "+33 6 39 98 00 76", b"k"))
-    assert re.fullmatch(r"\d\d-\d\d-\d{4}", pii.pseudonym("date", "12-05-2024", b"k"))
+    q = undone("id_number", iban)
+    assert pseudonyms.iban_valid(q) and q[:2] == "DE" and len(q) == len(iban)
+    assert not pseudonyms.iban_valid(undone("id_number", "DE88 3704 0044 0532 0130 00"))
+    assert undone("id_number", "NL91 ABNA 0417 1643 00")[5:9] == "ABNA" and pseudonyms.iban_valid(undone("id_number", "nl91abna0417164300"))
+    born = undone("id_number", "85.07.30-033.28")
+    assert 97 - int(re.sub(r"\D", "", born)[:9]) % 97 == int(born[-2:]) and 1 <= int(born[3:5]) <= 12
+    for other in ("666-83-6338", "123-45-6789", "123456789", "QQ 0012345", "12.34.56-789.01"):
+        assert len(undone("id_number", other)) == len(other)
+    assert len({pseudonyms.pseudonym("id_number", f"{i:09d}", b"k") for i in range(3000)}) == 3000
+
+
+def test_phone_pseudonyms():
+    assert re.fullmatch(r"\+33 6 \d\d \d\d \d\d \d\d", undone("phone", "+33 6 39 98 00 76"))
+    forms = [undone("phone", v) for v in ("+31612345678", "0612345678", "0031 6 1234 5678", "+31 (0)6 12345678", "06-12345678")]
+    assert len({re.sub(r"\D", "", f)[-8:] for f in forms}) == 1 and forms[0].startswith("+316") and forms[1].startswith("06")
+    assert undone("phone", "+1 212 555 0142").startswith("+1 2") and undone("phone", "+351 912 345 678").startswith("+351 9")
+
+
+def test_date_pseudonyms():
+    import datetime
+
+    seen = set()
+    for i in range(3652):
+        d = datetime.date(2012, 1, 1) + datetime.timedelta(i)
+        new = undone("date", f"{d.day:02d}-{d.month:02d}-{d.year}")
+        day, month, year = map(int, new.split("-"))
+        seen.add(datetime.date(year, month, day))
+        if d.day > 12:
+            m, dd, y = map(int, undone("date", f"{d.month:02d}/{d.day:02d}/{d.year}").split("/"))
+            assert (y, m, dd) == (year, month, day)
+    assert [int(x) for x in pseudonyms.pseudonym("date", pseudonyms.pseudonym("date", "5.1.2020", b"k"), b"k", back=True).split(".")] == [5, 1, 2020]
+    assert len(seen) == 3652 and pseudonyms.pseudonym("date", "31-02-2019", b"k") == "31-02-2019"
+
+
+def test_pseudonyms_of_different_values_differ():
+    assert len({pseudonyms.pseudonym("email", f"user{i}@example.org", b"k") for i in range(200_000)}) == 200_000
+    same = lambda kind, *values: len({pseudonyms.pseudonym(kind, v, b"k") for v in values}) == 1
+    assert same("email", "A@b.nl", "a (at) b.nl", "a [at] b (dot) nl") and not same("email", "otto@x.nl", "oto@x.nl")
+    assert same("person_name", "Carla Kestelyn", "KESTELYN, Carla", "carla  kestelyn") and not same("person_name", "Ana Vos", "Anna Voss")
+    assert same("street_address", "Molenstraat 12, Gent", "molenstraat 12  Gent") and not same("street_address", "Molenstraat 12", "Molenstraat 13")
+    assert pseudonyms.pseudonym("email", "a@b.nl", b"k") != pseudonyms.pseudonym("email", "a@b.nl", b"other")
 
 
 def test_pieces(spark):
@@ -191,7 +234,7 @@ def test_pieces(spark):
         4: {("street_address", "12 Old Thistle Street, Flat 4, Dorpveen 00099")}, 5: {("street_address", "Molenkreekstraat 12b, 0264 XQ Grimsholt")}, 6: {("person_name", "anna kestelyn")}, 7: {("person_name", "KESTELYN, Carla")},
     }
     out = {r["msg_id"] - n - 1: r["text"] for r in pii.anonymized(df, gaz, b"k").collect()}
-    assert re.fullmatch(r"write to \[email [0-9a-f]{8}\] please", out[0]) and out[10] is None and "[date " in out[8]
+    assert re.fullmatch(r"write to \[email [0-9a-f]{32}\] please", out[0]) and out[10] is None and "[date " in out[8]
     assert pii.pieces(df.limit(0), gaz).count() == 0
 
 

@@ -5,23 +5,25 @@ formats; names of persons by a lexicon of given and family names that is learned
 texts (initials, commas, infixes) and from the gazetteer. Text in ordinary case teaches names and streets, so that
 they are also known where case is lost.
 
-Pieces are replaced by typed placeholders. Numbers and dates keep their format under a keyed Feistel permutation of
-their digits: equal values get equal pseudonyms in all documents, different ones different pseudonyms, and numbers
-with check digits (bank accounts, national numbers) are permuted among the valid ones by walking the cycle.
+Pieces are replaced by typed placeholders (module ``pseudonyms``): equal values get equal ones in all documents.
+
+Batches of texts are first read as one array of code points, which tells which texts have what a grammar or the
+lexicon could match; only those are looked at one by one.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, bounded, written
+from .common import Memo, bounded, code_points, written
+from .pseudonyms import eleven_proof, replaced
 
 #: Entries of partial counts that a task holds before it sends them on.
 MOST_PARTIAL = 300_000
@@ -74,6 +76,8 @@ EMAIL = re.compile(
     rf"|{_LOCAL}(?:\sat\s|@)[A-Za-z][\w-]*{_DOT}[A-Za-z][\w-]*(?:(?:{_DOT}|\.)[A-Za-z][\w-]*)*",
     _I,
 )
+#: What a spelled-out address must have.
+_SPELLED = re.compile(r"[\[({]\s?(?:at|@|arroba|apenstaartje|a)\s?[\])}]|\s(?:at|arroba|apenstaartje)\s", _I)
 IBAN = re.compile(r"(?<![\w])([A-Z]{2}\d{2}(?:[ -]?[A-Z]{4})?(?:[ -]?\d{4}){2,6}(?:[ -]?\d{1,3})?)(?![\w])", _I)
 PASSPORT = re.compile(r"(?<![\w-])[A-Z]{2}[ -]?\d{7}(?![\w-])", _I)
 SOCIAL = re.compile(r"(?<![\w./-])\d{3}-\d{2}-\d{4}(?![\w-]|[./]\d)")
@@ -89,24 +93,14 @@ PHONE = re.compile(
 DATE = re.compile(r"(?<![\w.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\w-])")
 
 
-def eleven_proof(digits: str) -> bool:
-    """The check of nine-digit national numbers: weights 9 to 2 and -1 give a multiple of 11."""
-    return len(digits) == 9 and sum(int(d) * w for d, w in zip(digits, [9, 8, 7, 6, 5, 4, 3, 2, -1])) % 11 == 0
-
-
-def iban_valid(value: str) -> bool:
-    v = re.sub(r"[ -]", "", value).upper()
-    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
-
-
 _RUN = re.compile(r"(.)\1+")
-_DIGIT = re.compile(r"\d")
 _NAME_WORD = re.compile(r"(?<![@#\w])[^\W\d_][\w'’-]*")
 _BARE = re.compile(rf"(?:{_EN}|{_NL}|{_DE}|{_FR}|{_ES})\.?", _I)
 
 
 def _key(word: str) -> str:
-    return _RUN.sub(r"\1", word.lower().replace("’", "'"))
+    """A word without case, runs of a letter kept once: what words are compared by, not what they are replaced by."""
+    return _RUN.sub(r"\1", "".join(c.lower()[0] for c in word).replace("’", "'"))
 
 
 word_key = Memo(_key, 300_000)
@@ -121,11 +115,111 @@ _NAME_PAIR = re.compile(rf"(?<![\w.@#-])((?:[A-Z]\.)|{_CAP})((?:\s+(?:[A-Z]\.|{_
 _COMMA_PAIR = re.compile(rf"(?<![\w@#-])((?:(?:{_SMALL})\s+)*{_CAP}),\s+((?:[A-Z]\.)|[A-Z][a-z'’-]+(?:-[A-Z]\w+)?)(?![\w@.])", re.UNICODE)
 
 
-_ENDINGS = tuple(sorted({_key(w) for group in (_EN, _NL, _DE, _FR, _ES) for w in group.replace("+", "").replace("\\", "").split("|")}))
-_OPENERS = {"am", "an", "auf", "zum", "zur", "c"}
+def _word_set(group: str) -> set[str]:
+    return {_key(w) for w in group.replace("+", "").replace("\\", "").split("|")}
+
+
+#: What the last word before a number, or the first word of a street, must be like, by the grammars in STREETS.
+_KIND_WORDS = [_word_set(_EN), _word_set(_FR), tuple(sorted(_word_set(_NL))), tuple(sorted(_word_set(_DE))), {"am", "an", "auf", "im", "in", "zum", "zur", "op", "an"}, _word_set(_ES) | {"c"}]
 _ANY_WORD = re.compile(r"[^\W\d_][\w'’-]*")
 
 
+def street_kinds(keys: list[str]) -> list[int]:
+    """The grammars in STREETS that a text with such words can match."""
+    have = set(keys)
+    out = [i for i in (0, 1, 4, 5) if not have.isdisjoint(_KIND_WORDS[i])]
+    return out + [i for i in (2, 3) if any(k.endswith(_KIND_WORDS[i]) for k in have)]
+
+
+_LETTER, _DIGIT, _LINE, _INNER = 1, 2, 3, 4
+_tables: list[tuple[np.ndarray, ...]] = []
+_POWERS = np.random.default_rng(20240612).integers(1, 2**63, 64, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def _char_tables() -> tuple[np.ndarray, ...]:
+    """(class, small letter, whether a capital, whether white space) of each code point below 0x30000."""
+    if not _tables:
+        kind, low, capital, white = np.zeros(0x30000, np.uint8), np.arange(0x30000, dtype=np.uint32), np.zeros(0x30000, bool), np.zeros(0x30000, bool)
+        for c in range(0x30000):
+            ch = chr(c)
+            if ch.isalnum():
+                kind[c] = _DIGIT if ch.isdecimal() else _LETTER
+                low[c], capital[c] = ord(ch.lower()[0]), ch.isupper()
+            white[c] = ch.isspace()
+        for ch, k in (("_", _LINE), ("'", _INNER), ("’", _INNER), ("-", _INNER)):
+            kind[ord(ch)] = k
+        low[ord("’")] = ord("'")
+        _tables.append((kind, low, capital, white))
+    return _tables[0]
+
+
+class Words:
+    """The words of a batch of texts: text, start and end in the batch, hash of the key, and what surrounds them."""
+
+    def __init__(self, texts: list[str]):
+        kinds, small, capitals, white = _char_tables()
+        flat, self.first = code_points(texts)
+        n = len(flat)
+        safe = np.where(flat < 0x30000, flat, 0)
+        k = kinds[safe]
+        self.digits = np.bincount(np.searchsorted(self.first, np.flatnonzero(k == _DIGIT), "right") - 1, minlength=len(texts))
+        at = np.flatnonzero(k)
+        owner = np.searchsorted(self.first, at, "right") - 1
+        head = np.ones(len(at), bool)
+        head[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+        heads = np.flatnonzero(head)
+        z = np.zeros(0, np.int64)
+        self.text = self.start = self.end = self.hash = z
+        self.capital = self.shouted = self.hyphen = self.inner = self.blank_before = z.astype(bool)
+        if not len(heads):
+            return
+        ka = k[at]
+        before = np.where(at > self.first[owner], safe[np.maximum(at - 1, 0)], 32)
+        begins = (ka == _LETTER) & ~np.isin(kinds[before], (_LETTER, _DIGIT, _LINE)) & (before != ord("@")) & (before != ord("#"))
+        start = np.minimum.reduceat(np.where(begins, at, n), heads)
+        end = np.append(at[heads[1:] - 1], at[-1]) + 1
+        ok = start < n
+        run = np.cumsum(head) - 1
+        keep = (at >= start[run]) & ok[run]
+        c, who = small[safe[at[keep]]].astype(np.uint64), run[keep]
+        if not len(c):
+            return
+        new = np.ones(len(c), bool)
+        new[1:] = who[1:] != who[:-1]
+        once = new.copy()
+        once[1:] |= c[1:] != c[:-1]
+        h = np.flatnonzero(new)
+        nth = np.cumsum(once)
+        place = np.minimum(nth - np.repeat(nth[h], np.diff(np.append(h, len(c)))), 63)
+        self.hash = np.add.reduceat(np.where(once, (c + np.uint64(77)) * _POWERS[place], np.uint64(0)), h).view(np.int64)
+        self.text, self.start, self.end = owner[heads][ok], start[ok], end[ok]
+        self.capital = capitals[safe[self.start]]
+        letters = ka[keep] == _LETTER
+        self.shouted = ~np.logical_or.reduceat(letters & ~capitals[safe[at[keep]]], h) & (self.end - self.start > 2)
+        self.hyphen = np.logical_or.reduceat(c == ord("-"), h)
+        solid = np.maximum.accumulate(np.where(white[safe], -1, np.arange(n)))
+        prev = np.where(self.start > 0, solid[np.maximum(self.start - 1, 0)], -1)
+        has = prev >= self.first[self.text]
+        self.inner = has & ~np.isin(flat[np.maximum(prev, 0)], np.array([ord(x) for x in ".!?…:\"“„«-"], np.uint32))
+        #: Only white space, or a stop after an initial, stands between the word and the one before it.
+        self.blank_before = np.zeros(len(self.start), bool)
+        same = self.text[1:] == self.text[:-1]
+        self.blank_before[1:] = same & ((prev[1:] < self.end[:-1]) | (flat[np.maximum(prev[1:], 0)] == ord(".")) & (self.end[:-1] - self.start[:-1] == 1) & (prev[1:] == self.end[:-1]))
+
+    def of(self, texts: list[str], i: int) -> str:
+        lo = self.first[self.text[i]]
+        return texts[self.text[i]][self.start[i] - lo : self.end[i] - lo]
+
+
+def _hash_of(key: str) -> int:
+    c = np.array([ord(x) for i, x in enumerate(key) if not i or key[i - 1] != x], np.uint64)
+    return int(((c + np.uint64(77)) * _POWERS[np.minimum(np.arange(len(c)), 63)]).sum(keepdims=True).view(np.int64)[0])
+
+
+def hashes(keys) -> np.ndarray:
+    return np.array(sorted(_hash_of(k) for k in keys), np.int64)
+
+
 _NOT_PROSE = re.compile(r"https?://\S+|[@#]\w+|<LINEBREAK>|\S+@\S+")
 _TWO_WORD_TOWN = re.compile(rf"(?:\d{{5}}|\d{{4}} [A-Z]{{2}}) ({_CAP} {_CAP})|, ({_CAP} {_CAP}) (?:\d{{5}}|[A-Z]{{2}}\d \d[A-Z]{{2}})")
 
@@ -136,65 +230,60 @@ def _titled(text: str) -> bool:
     return sum(w[0].isupper() for w in words) > 0.7 * len(words) and len(words) > 5
 
 
-def counted(texts: Iterator[str]) -> Iterator[Counter]:
+def counted(batches: Iterator[list[str]]) -> Iterator[Counter]:
     """What texts in ordinary case tell about names, streets and two-word towns, as partial counts.
 
     Keys are (what, word, second word or None): words by case, family names after an initial, pairs of a given and a
     family name, streets and towns.
     """
     n: Counter = Counter()
-    small: Counter = Counter()
-
-    def whole() -> Counter:
-        for w, k in small.items():
-            n["lower", word_key[w], None] += k
-        return n
-
-    for t in texts:
-        if t.islower() or t.isupper() or _titled(t):
-            continue
-        if "@" in t or "#" in t or "<" in t or "http" in t:
-            t = _NOT_PROSE.sub(" . ", t)
-        capital = 0
-        lower = []
-        for m in _ANY_WORD.finditer(t):
-            w = m[0]
-            if w[0].islower():
-                lower.append(w)
-                continue
-            capital += 1
-            k = word_key[w]
-            n["upper", k, None] += 1
-            at = m.start() - 1
-            while at >= 0 and t[at].isspace():
-                at -= 1
-            if at >= 0 and t[at] not in ".!?…:\"“„«-":
-                n["inner", k, None] += 1
-        small.update(lower)
-        if not capital:
-            continue
-        for m in _NAME_PAIR.finditer(t) if capital > 1 else ():
-            first, last = m[1], _key(m[3])
-            if len(first) == 2 and first[1] == ".":
-                n["initial", last, None] += 1
-            else:
-                n["pair", _key(first), last] += 1
-        if "," in t and capital > 1:
-            for m in _COMMA_PAIR.finditer(t):
+    infixes = hashes(_SMALL.split("|"))
+    for texts in batches:
+        texts = [t for t in texts if not (t.islower() or t.isupper())]
+        texts = [_NOT_PROSE.sub(" . ", t) if "@" in t or "#" in t or "<" in t or "http" in t else t for t in texts]
+        w = Words(texts)
+        size = np.bincount(w.text, minlength=len(texts))
+        capital = np.bincount(w.text, w.capital, len(texts))
+        prose = ~((capital > 0.7 * size) & (size > 5))
+        told = prose[w.text]
+        values, at, ids = np.unique(w.hash[told], return_index=True, return_inverse=True)
+        at = np.flatnonzero(told)[at]
+        keys = [word_key[w.of(texts, i)] for i in at.tolist()]
+        cap = w.capital[told]
+        for what, chosen in (("upper", cap), ("lower", ~cap), ("inner", cap & w.inner[told])):
+            for i, k in enumerate(np.bincount(ids[chosen], minlength=len(values)).tolist() if len(values) else ()):
+                if k:
+                    n[what, keys[i], None] += k
+        # A capital after a capital, an initial or an infix, and a shouted word before a comma.
+        near = np.zeros(len(w.hash), bool)
+        near[1:] = w.capital[1:] & w.blank_before[1:] & (w.capital[:-1] | np.isin(w.hash[:-1], infixes))
+        pairs = np.zeros(len(texts), bool)
+        pairs[w.text[near]] = True
+        commas = np.zeros(len(texts), bool)
+        commas[w.text[w.shouted]] = True
+        for i in np.flatnonzero(prose & pairs).tolist():
+            for m in _NAME_PAIR.finditer(texts[i]):
+                first, last = m[1], _key(m[3])
+                if len(first) == 2 and first[1] == ".":
+                    n["initial", last, None] += 1
+                else:
+                    n["pair", _key(first), last] += 1
+        for i in np.flatnonzero(prose & commas).tolist():
+            for m in _COMMA_PAIR.finditer(texts[i]) if "," in texts[i] else ():
                 if m[1].split()[-1].isupper() and len(m[1].split()[-1]) > 2:
                     n["pair", _key(m[2]), _key(m[1].split()[-1])] += 1
-        if _DIGIT.search(t):
-            if any(k.endswith(_ENDINGS) or k in _OPENERS for k in map(word_key.__getitem__, _ANY_WORD.findall(t))):
-                for s, rx in enumerate(STREETS):
-                    for m in rx.finditer(t):
-                        if _cased(m["name"], s):
-                            n["street", _key(m["name"]), None] += 1
+        for i in np.flatnonzero(prose & (capital > 0) & (w.digits > 0)).tolist():
+            t = texts[i]
+            for s in street_kinds([word_key[x] for x in _ANY_WORD.findall(t)]):
+                for m in STREETS[s].finditer(t):
+                    if _cased(m["name"], s) and not m["name"].isupper():
+                        n["street", _key(m["name"]), None] += 1
             for m in _TWO_WORD_TOWN.finditer(t):
                 n["town", _key(m[1] or m[2]), None] += 1
-        if len(n) + len(small) > MOST_PARTIAL:
-            yield whole()
-            n, small = Counter(), Counter()
-    yield whole()
+        if len(n) > MOST_PARTIAL:
+            yield n
+            n = Counter()
+    yield n
 
 
 def _cased(name: str, kind: int) -> bool:
@@ -210,9 +299,22 @@ def _cased(name: str, kind: int) -> bool:
 class Finder:
     def __init__(self, lexicon: Lexicon):
         self.lex = lexicon
+        self.family = hashes(lexicon.family)
 
     def __call__(self, text: str) -> list[tuple[str, int, int]]:
-        """(kind, start, end) of each piece, in order, without overlaps; formats that say more win."""
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str]) -> list[list[tuple[str, int, int]]]:
+        """Of each text (kind, start, end) of each piece, in order, without overlaps; formats that say more win."""
+        w = Words(texts)
+        named = np.zeros(len(texts), bool)
+        named[w.text[np.isin(w.hash, self.family) | w.hyphen]] = True
+        out: list[list[tuple[str, int, int]]] = []
+        for t, digits, names in zip(texts, w.digits.tolist(), named.tolist()):
+            out.append(self._pieces(t, digits, names) if digits or names or "@" in t or _SPELLED.search(t) else [])
+        return out
+
+    def _pieces(self, text: str, digits: int, names: bool) -> list[tuple[str, int, int]]:
         out: list[tuple[str, int, int]] = []
         links = [m.span() for m in re.finditer(r"https?:/\S+|www\.\S+", text)] if "http" in text or "www." in text else []
 
@@ -220,15 +322,15 @@ class Finder:
             if all(b <= x or a >= y for _, x, y in out) and all(b <= x or a >= y for x, y in links):
                 out.append((kind, a, b))
 
-        low = text.lower()
-        if "@" in low or " at " in low or "at)" in low or "at]" in low or "(a" in low or "[a" in low or "arroba" in low or "apenstaartje" in low:
+        if "@" in text or _SPELLED.search(text):
             for m in EMAIL.finditer(text):
                 add("email", *m.span())
-        words = [(m[0], m.start(), m.end()) for m in _NAME_WORD.finditer(text)]
+        words = [(m[0], m.start(), m.end()) for m in _NAME_WORD.finditer(text)] if digits or names else []
         keys = [word_key[w] for w, _, _ in words]
-        if _DIGIT.search(text):
-            if any(k.endswith(_ENDINGS) or k in _OPENERS for k in keys):
-                self._addresses(text, add)
+        if digits:
+            if kinds := street_kinds(keys):
+                self._addresses(text, kinds, add)
+        if digits >= 7:
             for m in IBAN.finditer(text):
                 v = re.sub(r"[ -]", "", m[1])
                 if 14 <= len(v) <= 34 and sum(c.isdigit() for c in v) >= 9:
@@ -247,14 +349,14 @@ class Finder:
                     add("phone", *m.span())
             for m in NATIONAL.finditer(text):
                 add("id_number", *m.span())
-        if not self.lex.family.isdisjoint(keys) or any("-" in k for k in keys):
+        if names:
             self._names(text, words, keys, add)
         return sorted(out, key=lambda x: x[1])
 
-    def _addresses(self, text: str, add) -> None:
+    def _addresses(self, text: str, kinds: list[int], add) -> None:
         titled = _titled(text)
-        for s, rx in enumerate(STREETS):
-            at = 0
+        for s in sorted(kinds):
+            rx, at = STREETS[s], 0
             while m := rx.search(text, at):
                 at = m.end()
                 name, start = m["name"], m.start()
@@ -351,68 +453,6 @@ class Finder:
                 add("person_name", words[a][1], end)
 
 
-def feistel(digits: str, key: bytes, tweak: str, back: bool = False) -> str:
-    """A keyed permutation of the digit strings of one length: ten rounds over two halves."""
-    n = len(digits)
-    if n < 2:
-        shift = hashlib.blake2b(tweak.encode(), key=key, digest_size=2).digest()[0] % 10
-        return "".join(str((int(d) + (-shift if back else shift)) % 10) for d in digits)
-    u = n // 2
-    a, b = int(digits[:u]), int(digits[u:])
-    size = (10**u, 10 ** (n - u))
-    rounds = range(10)
-    for r in reversed(rounds) if back else rounds:
-        side = r % 2
-        source, modulus = (b, size[0]) if side == 0 else (a, size[1])
-        h = int.from_bytes(hashlib.blake2b(f"{tweak}|{n}|{r}|{source}".encode(), key=key, digest_size=16).digest(), "big") % modulus
-        h = -h if back else h
-        if side == 0:
-            a = (a + h) % modulus
-        else:
-            b = (b + h) % modulus
-    return f"{a:0{u}d}{b:0{n - u}d}"
-
-
-def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str:
-    """The pseudonym of a piece; for numbers a permutation within their format, undone by ``back``."""
-    if kind in ("phone", "id_number", "date"):
-        digits = re.sub(r"\D", "", value)
-        letters = re.sub(r"[^A-Za-z]", "", value).upper()
-        valid = None
-        if kind == "id_number" and not letters and eleven_proof(digits):
-            valid = eleven_proof
-        elif kind == "id_number" and len(letters) >= 2 and len(digits) >= 9 and value[:2].isalpha() and iban_valid(value):
-            shape = re.sub(r"[ -]", "", value).upper()
-
-            def valid(d: str) -> bool:  # noqa: F811
-                it = iter(d)
-                return iban_valid("".join(next(it) if c.isdigit() else c for c in shape))
-        elif kind == "date":
-            layout = [len(g) for g in re.split(r"\D", value)]
-
-            def valid(d: str) -> bool:  # noqa: F811
-                day, month = int(d[: layout[0]]), int(d[layout[0] : layout[0] + layout[1]])
-                return 1 <= day <= 28 and 1 <= month <= 12 and d[-4:-2] in ("19", "20")
-
-            if not valid(digits):
-                valid = None
-        new = feistel(digits, key, f"{kind}|{letters}", back)
-        while valid and not valid(new):
-            new = feistel(new, key, f"{kind}|{letters}", back)
-        it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in value)
-    return hashlib.blake2b(f"{kind}|{_key(' '.join(value.split()))}".encode(), key=key, digest_size=4).hexdigest()
-
-
-def replaced(text: str, pieces: list[tuple[str, int, int]], key: bytes) -> str:
-    """The text with each piece replaced by ``[kind pseudonym]``; the rest is unchanged."""
-    out, at = [], 0
-    for kind, a, b in pieces:
-        out += [text[at:a], f"[{kind} {pseudonym(kind, text[a:b], key)}]"]
-        at = b
-    return "".join([*out, text[at:]])
-
-
 def lexicon(messages: DataFrame, gazetteer: DataFrame) -> Lexicon:
     """Given and family names, streets and two-word towns, from all distinct texts in ordinary case.
 
@@ -423,7 +463,7 @@ def lexicon(messages: DataFrame, gazetteer: DataFrame) -> Lexicon:
     gaz = {_key(g) for g in keys if " " not in g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n in counted(t for batch in batches for t in batch.column(0).to_pylist()):
+        for n in counted(batch.column(0).to_pylist() for batch in batches):
             what, a, b = zip(*n) if n else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(map(int, n.values())), pa.int64())], names=["what", "a", "b", "n"])
 
@@ -468,33 +508,37 @@ def pieces(messages: DataFrame, gazetteer: DataFrame) -> DataFrame:
         find = Finder(Lexicon(*sent.value))
         for batch in batches:
             rows, kinds, a, b = [], [], [], []
-            for k, t in enumerate(batch.column("text").to_pylist()):
-                for kind, s, e in find(t):
+            for k, found in enumerate(find.batch(batch.column("text").to_pylist())):
+                for kind, s, e in found:
                     rows.append(k)
                     kinds.append(kind)
                     a.append(s)
                     b.append(e)
             yield pa.RecordBatch.from_arrays([batch.column("msg_id").take(pa.array(rows, pa.int64())), pa.array(kinds, pa.string()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["msg_id", "kind", "start_pos", "end_pos"])
 
-    rows = messages.selectExpr("msg_id", "text_orig text").where("text is not null and text rlike '[A-Za-z0-9]'")
+    rows = messages.selectExpr("msg_id", "text_orig text").where("text is not null")
     return rows.mapInArrow(run, "msg_id bigint, kind string, start_pos int, end_pos int").distinct()
 
 
 def anonymized(messages: DataFrame, gazetteer: DataFrame, key: bytes) -> DataFrame:
-    """(msg_id, text) of each message with its pieces and dates replaced; null texts stay null. Each message once."""
+    """(msg_id, text) of each message with its pieces and dates replaced; null texts stay null. Each message once.
+
+    ``key`` is the secret that the pseudonyms depend on; without it they can't be undone.
+    """
     lex = lexicon(messages, gazetteer)
     sent = messages.sparkSession.sparkContext.broadcast((lex.given, lex.family, lex.streets, lex.towns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(Lexicon(*sent.value))
         for batch in batches:
+            texts = batch.column("text").to_pylist()
             out = []
-            for t in batch.column("text").to_pylist():
+            for t, found in zip(texts, find.batch([t or "" for t in texts])):
                 if t:
-                    found = find(t)
-                    found += [("date", *m.span()) for m in DATE.finditer(t) if all(m.end() <= a or m.start() >= b for _, a, b in found)]
-                    t = replaced(t, sorted(found, key=lambda x: x[1]), key)
+                    dates = [("date", *m.span()) for m in DATE.finditer(t) if all(m.end() <= a or m.start() >= b for _, a, b in found)]
+                    t = replaced(t, sorted(found + dates, key=lambda x: x[1]), key)
                 out.append(t)
             yield pa.RecordBatch.from_arrays([batch.column("msg_id"), pa.array(out, pa.string())], names=["msg_id", "text"])
 
-    return messages.selectExpr("msg_id", "text_orig text").mapInArrow(run, "msg_id bigint, text string").dropDuplicates(["msg_id"])
+    once = messages.selectExpr("msg_id", "text_orig text").where("msg_id is not null").dropDuplicates(["msg_id"])
+    return once.mapInArrow(run, "msg_id bigint, text string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +52,10 @@ def p6_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.normalized(recs, table(spark, sf_dir, "lexicon"), table(spark, sf_dir, "gazetteer")).where("affected").select("field", "rec_id", "text", "fixed")
 
 
-#: The key of the pseudonyms; whoever runs this on real data passes one of their own.
-PSEUDONYM_KEY = b"change me"
+def pseudonym_key(spark: SparkSession) -> bytes:
+    """The secret of the pseudonyms, from ``spark.tidewrit.pseudonym.key``; a new one for this query if none is set."""
+    given = spark.conf.get("spark.tidewrit.pseudonym.key", None)
+    return given.encode()[:64] if given else secrets.token_bytes(32)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +63,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_anonymized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.anonymized(table(spark, sf_dir, "messages"), table(spark, sf_dir, "gazetteer"), PSEUDONYM_KEY)
+    return pii.anonymized(table(spark, sf_dir, "messages"), table(spark, sf_dir, "gazetteer"), pseudonym_key(spark))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
