@@ -253,6 +253,9 @@ def test_names_of_all_messages(spark):
 
 
 def test_hidden_copies(spark):
+    long = "x" * 130
+    pair = [f"{long}: a | When: b", f"when: B; {long.upper()}: a."]
+    assert {tuple(r) for r in copies.hidden_copies(messages(spark, *pair)).collect()} == {(1, 2)}
     texts = ["What: a | When: b", "WHEN:b;  WHAT : a!", "What: b | When: a", "Straße 5", "STRASSE   5.", "x y", "xy", "x а", None, "", "!!!", "...", "What a, when b"]
     df = messages(spark, *texts)
     df = df.unionByName(df)
@@ -261,6 +264,13 @@ def test_hidden_copies(spark):
     assert copies.hidden_copies(df.limit(0)).count() == 0
 
 
+def test_shared_identifiers_are_refused(spark):
+    e = "r1 long, r2 long, a long, b long, check long, n long"
+    with pytest.raises(ValueError):
+        copies.verified(spark.createDataFrame([(1, 1, 5, 5, 7, 1), (2, 2, 5, 5, 8, 1)], e))
+    assert copies.verified(spark.createDataFrame([(1, 1, 5, 5, 7, 1), (2, 2, 5, 5, 7, 1)], e)).count() == 2
+
+
 def test_copies_of_a_hot_group_equal_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, "Same text" + rng.choice([" ", "!", ""]) if i % 3 == 0 else f"t {rng.randint(0, 40)}") for i in range(600)]

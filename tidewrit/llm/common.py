@@ -8,6 +8,7 @@ numpy or Arrow can take the whole batch.
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 import numpy as np
@@ -44,15 +45,31 @@ def hash_bound(most: int, rows: int, spare: float = 4.0) -> int:
     return min(2**63 - 1, -(2**63) + int(min(1.0, spare * most / max(1, rows)) * 2**64))
 
 
+_folders: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir`` (set here only where it is unset, as in tests)."""
+    """A new folder below ``spark.checkpoint.dir``, which a cluster has to name.
+
+    Only where driver and executors are one machine (local mode, as in tests) a temporary folder stands in for it.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewrit-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"tidewrit-{uuid.uuid4().hex}")
+    at = os.path.join(base, f"tidewrit-{uuid.uuid4().hex}")
+    _folders.append(at)
+    return at
+
+
+def tidy(spark: SparkSession) -> None:
+    """Delete the folders that queries of this session have written; their results can't be read after that."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _folders:
+        path = jvm.org.apache.hadoop.fs.Path(_folders.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ _CANON = "replace(replace(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}
 _PARTS = "list_filter(regexp_split_to_array(t, '[|;]'), lambda p: regexp_matches(p, '[\\p{L}\\p{Nd}]'))"
 _KEYS = f"""WITH m AS (SELECT DISTINCT msg_id, text_orig AS t FROM messages WHERE text_orig IS NOT NULL AND msg_id IS NOT NULL AND regexp_matches(text_orig, '[\\p{{L}}\\p{{Nd}}]')),
 s AS (SELECT msg_id, t, {_PARTS} AS parts FROM m),
-k AS (SELECT msg_id, CASE WHEN regexp_matches(t, '[|;]') AND len(parts) > 1 AND list_bool_and(list_transform(parts, lambda p: regexp_matches(p, '^[^:]{{0,60}}[\\p{{L}}\\p{{Nd}}][^:]{{0,60}}:')))
+k AS (SELECT msg_id, CASE WHEN regexp_matches(t, '[|;]') AND len(parts) > 1 AND list_bool_and(list_transform(parts, lambda p: regexp_matches(p, '^[^:]*[\\p{{L}}\\p{{Nd}}][^:]*:')))
   THEN '|' || array_to_string(list_sort(list_transform(parts, lambda p: {_CANON.format("split_part(p, ':', 1)")} || ':' || {_CANON.format("regexp_replace(p, '^[^:]*:', '')")})), '|')
   ELSE {_CANON.format("t")} END AS key FROM s),
 g AS (SELECT key, min(msg_id) AS keep_id, count(DISTINCT msg_id) AS n_copies FROM k GROUP BY key)
