@@ -300,6 +300,16 @@ def test_lookalikes(spark):
     assert lookalikes.found(recs.limit(0), lex, gaz).count() == 0
 
 
+def test_lookalikes_by_the_trie():
+    trie = lookalikes.Trie({"apple": 5, "hello": 5, "ample": 1})
+    for w in ("\u13aapple", "\u2c81pple", "\ua4eepple", "\u029cello", "app\u050be", "hel\u200blo"):
+        assert lookalikes.affected(w, trie), w
+    assert [lookalikes.consistent(w, trie) for w in ("\u13aapple", "\u2c81pple", "\ua4eepple", "\u029cello", "\u057epple")] == ["Apple", "apple", "Apple", "hello", "apple"]
+    # Whole words of other alphabets are at home; other edits than look-alikes are none.
+    for w in ("\u13a3\u13b3\u13a9", "\u2ca0\u2ca3", "appel", "applo", "\u03b1\u03c1\u03c7\u03ae"):
+        assert not lookalikes.affected(w, trie), w
+
+
 # Problem 7
 
 

@@ -1,9 +1,11 @@
 """Problem 6: text that looks ordinary but is made of other characters.
 
-A text is first freed of encoding damage (problem 3), whose products are not look-alikes. Its words are then brought
-to one form: a word with a look-alike, invisible, wide or decomposed character is looked up in a trie of known
-words by an automaton that passes look-alikes and ignorables at no cost and other edits not at all; of the spellings
-it reaches, the most frequent one is chosen and gets the word's case. Words it doesn't reach are normalised by table.
+A text is first freed of encoding damage (problem 3), whose products are not look-alikes. An expression picks the places
+with characters that could be out of place; what decides is the spelling of the word they are in. It is looked up in a
+trie of known words by a weighted edit automaton: look-alikes and ignorables cost nothing, a letter of a script that
+the word isn't at home in costs one, as does a mark that composes with nothing, and other edits are not allowed. Of the
+spellings it reaches within the budget, the cheapest and then most frequent one is chosen and gets the word's case;
+words it doesn't reach are normalised by table. A word is affected if it isn't spelled as chosen.
 """
 
 from __future__ import annotations
@@ -23,8 +25,23 @@ from .mojibake import LOSSY, CharModel, clean_characters, repaired
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТХҮԁԛԜԝаеѕіјорсухһӏүвктмнгпԚҺ", "ABESIJKMHOPCTXYdqWwaesijopcyxhlybktmHrnQh"))
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳαγεηικνορτυχωϲϱβμϜ", "ABEZHIKMNOPTYXCjayenikvoptuxwcpBuF"))
 _OTHER = dict(zip("ɑɡıȷɩʟᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢօսհոցյԼՕՏꜱ", "agijilacdejkmoptuvwzouhngjLOSs"))
+_CHEROKEE = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃᎽᎵ", "ABCDEGHJKLMPRSTVWZYP"))
+_COPTIC = dict(zip("ⲀⲂⲈⲌⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲁⲃⲉⲏⲓⲕⲙⲛⲟⲣⲥⲧⲩⲭ", "ABEZHIKMNOPCTYXabehikmnopctyx"))
+_LISU = dict(zip("ꓮꓐꓚꓓꓰꓝꓖꓧꓲꓙꓗꓡꓟꓠꓳꓑꓣꓢꓔꓴꓦꓪꓫꓬꓜ", "ABCDEFGHIJKLMNOPRSTUVWXYZ"))
+
+
+def _drawn_as() -> dict[str, str]:
+    """Letters of phonetic and other alphabets whose Unicode names say which Latin letter they are drawn as."""
+    out = {}
+    for c in (*range(0x250, 0x2B0), *range(0x1D00, 0x1D80), *range(0xA720, 0xA800), *range(0xAB30, 0xAB70)):
+        if m := re.fullmatch(r"LATIN (?:LETTER SMALL CAPITAL|SMALL LETTER (?:SCRIPT|DOTLESS|BLACKLETTER)) ([A-Z])", unicodedata.name(chr(c), "")):
+            out[chr(c)] = m[1].lower()
+    return out
+
+
+_DRAWN = _drawn_as()
 #: Look-alike -> Latin letter.
-LOOKALIKES: dict[str, str] = {**_CYRILLIC, **_GREEK, **_OTHER}
+LOOKALIKES: dict[str, str] = {**_DRAWN, **_CHEROKEE, **_COPTIC, **_LISU, **_CYRILLIC, **_GREEK, **_OTHER}
 #: Latin letter -> Cyrillic letter that it stands in for within a Cyrillic word, and the same for Greek (fixed values).
 TO_CYRILLIC = dict(zip("ABEKMHOPCTXYaeopcyxijsSIJkmtbuhgrn", "АВЕКМНОРСТХУаеорсухіјѕЅІЈкмтьиһдгп"))
 TO_GREEK = dict(zip("ABEZHIKMNOPTYXaeiknvoptuxy", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαεικηνορτυχγ"))
@@ -34,7 +51,9 @@ _HIDDEN = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b\u200e\u
 _BLANKS = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f"
 _LATIN = "A-Za-z\u00aa\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0250-\u02af\u1d00-\u1d7f\u1e00-\u1eff"
 _GREEK_LETTERS, _CYRILLIC_LETTERS, _ARMENIAN = "\u0370-\u03e1\u03f0-\u03ff\u1f00-\u1fff", "\u0400-\u052f\u1c80-\u1c8f", "\u0531-\u0587"
-_FOREIGN = _GREEK_LETTERS + _CYRILLIC_LETTERS + _ARMENIAN
+# Other alphabets that share shapes with Latin: Georgian capitals, Cherokee, Coptic, Lisu.
+_RARE = "\u10a0-\u10c5\u13a0-\u13fd\uab70-\uabbf\u2c80-\u2cee\ua4d0-\ua4f7"
+_FOREIGN = _GREEK_LETTERS + _CYRILLIC_LETTERS + _ARMENIAN + _RARE
 _WIDE_HOME = "\u2e80-\u9fff\uf900-\ufaff\uac00-\ud7af\U00020000-\U0003ffff\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65"
 _EMOJI = "\u00a9\u00ae\u203c\u2049\u20e3\u2122\u2139\u2190-\u21ff\u2300-\u27bf\u2900-\u297f\u2b00-\u2bff\u3030\u303d\u3297\u3299#*0-9\ufe0f\u200d\U0001f000-\U0001faff\U000e0020-\U000e007f"
 # Joiners are at home between letters of Arabic and Indic scripts (and Syriac, Thai, Khmer and Mongolian).
@@ -42,6 +61,7 @@ _JOINED = "\u0600-\u08ff\u0900-\u0dff\u0e00-\u0eff\u1000-\u109f\u1780-\u18af\ufb
 
 _WORD = r"[^\W\d_]"
 _LETTER = re.compile(_WORD)
+_WORD_PART = re.compile(f"{_WORD}|[\u0300-\u036f\u3099\u309a{_HIDDEN}\u200c\u200d]")
 ODD = re.compile("|".join([
     f"[{_HIDDEN}]",
     f"[{_BLANKS}]",
@@ -51,15 +71,20 @@ ODD = re.compile("|".join([
     f"(?<![{_WIDE_HOME}])[\u3000\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65](?![{_WIDE_HOME}])",
     "\\w[\u0300-\u036f\u3099\u309a]",
     f"[{_LATIN}][{_FOREIGN}]|[{_FOREIGN}][{_LATIN}]|[{_GREEK_LETTERS}][{_CYRILLIC_LETTERS}]|[{_CYRILLIC_LETTERS}][{_GREEK_LETTERS}]",
-    "[\ufb00-\ufb06\u017f\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3\u212a\u212b\u2126\U0001d400-\U0001d7ff\u24b6-\u24e9\U0001f130-\U0001f149\u2160-\u217f\u2100-\u2115\u2119-\u211d\u2128\u212c-\u2134\u0251\u0261\u0131\u0237\u1d00-\u1d22]",
+    "[\ufb00-\ufb06\u017f\u0132\u0133\u0149\u01c4-\u01cc\u01f1-\u01f3\u212a\u212b\u2126\U0001d400-\U0001d7ff\u24b6-\u24e9\U0001f130-\U0001f149\u2160-\u217f\u2100-\u2115\u2119-\u211d\u2128\u212c-\u2134\u0251\u0261\u0131\u0237\u1d00-\u1d22" + "".join(_DRAWN) + "]",
     f"(?<![{_FOREIGN}{_LATIN}])[{_FOREIGN}]+(?![{_FOREIGN}{_LATIN}])",  # judged again by _disguised
 ]))
+_FOREIGN_RUN = re.compile(f"[{_FOREIGN}]+")
 _HOME_TEXT = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\U0010ffff]")
 _TURKISH = re.compile("[ğşİ]")
 
 
+#: Letters of a word that allow one letter of a strange script, or one stray mark, to be read as any.
+PER_STRANGER = 3
+
+
 class Trie:
-    """Known words, traversed with a word whose characters may be look-alikes (free) or ignorable (skipped free)."""
+    """Known words, traversed with a word whose characters may stand for others."""
 
     def __init__(self, words: dict[str, int]):
         self.root: dict = {}
@@ -69,19 +94,36 @@ class Trie:
                 node = node.setdefault(c, {})
             if n >= node.get("", (-1, ""))[0]:
                 node[""] = (n, w.lower())
+        self.reached = Memo(self._reach, 100_000)
 
     def reach(self, word: str) -> str | None:
-        """The most frequent known word that this one looks like, or None."""
-        states = [self.root]
+        """The cheapest and most frequent known word that this one looks like, or None."""
+        return self.reached[word]
+
+    def _reach(self, word: str) -> str | None:
+        budget = len(word) // (PER_STRANGER + 1)
+        home = _dominant(word)
+        states: list[tuple[int, dict]] = [(0, self.root)]
         for c in word:
             steps = letters_of(c)
             if steps == ("",):
                 continue
-            states = [n for s in states for step in steps for n in [_walk(s, step)] if n is not None]
+            strange, mark = _strange(c, home), "\u0300" <= c <= "\u036f"
+            new: dict[int, tuple[int, dict]] = {}
+            for cost, node in states:
+                ways = [(cost, n) for n in (_walk(node, step) for step in steps) if n is not None]
+                if cost < budget and strange:
+                    ways += [(cost + 1, n) for letter, n in node.items() if letter]
+                if cost < budget and mark:
+                    ways.append((cost + 1, node))
+                for k, n in ways:
+                    if id(n) not in new or k < new[id(n)][0]:
+                        new[id(n)] = (k, n)
+            states = list(new.values())
             if not states:
                 return None
-        ends = [s[""] for s in states if "" in s]
-        return max(ends)[1] if ends else None
+        ends = [(-cost, *n[""]) for cost, n in states if "" in n]
+        return max(ends)[2] if ends else None
 
 
 def _walk(node: dict, letters: str) -> dict | None:
@@ -92,6 +134,11 @@ def _walk(node: dict, letters: str) -> dict | None:
     return node
 
 
+def _strange(c: str, home: str) -> bool:
+    """Whether a letter is of an alphabet that the word isn't at home in, and no look-alike by table says what it is."""
+    return home == "latin" and c > "\u024f" and c.isalpha() and c not in LOOKALIKES and bool(re.match(f"[{_FOREIGN}\u0250-\u02af]", c))
+
+
 def _letters_of(c: str) -> tuple[str, ...]:
     if unicodedata.category(c) in ("Cf", "Mn", "Cc") and not "\u0300" <= c <= "\u036f":
         return ("",)
@@ -161,7 +208,7 @@ def places(text: str, trie: Trie) -> list[tuple[int, int]]:
             continue
         if s in "ıȷ" and _TURKISH.search(text):
             continue
-        if all("\u0370" <= c <= "\u0587" or "\u1c80" <= c <= "\u1fff" for c in s) and not _mixed(s) and not _disguised(s, text, trie):
+        if _FOREIGN_RUN.fullmatch(s) and not _mixed(s) and not _disguised(s, text, trie):
             continue
         out.append(m.span())
     return out
@@ -171,6 +218,24 @@ def _mixed(s: str) -> bool:
     return len({("g" if c < "\u0400" or c >= "\u1f00" else "a" if c > "\u052f" else "c") for c in s}) > 1
 
 
+def affected(text: str, trie: Trie) -> bool:
+    """Whether a text, already freed of encoding damage, has a place that isn't spelled as it should be.
+
+    Within words the spelling that the trie or the table gives decides; signs, blanks and hidden characters are odd where
+    they stand.
+    """
+    for a, b in places(text, trie):
+        if not _LETTER.search(text[a:b]):
+            return True
+        while a and _WORD_PART.match(text[a - 1]):
+            a -= 1
+        while b < len(text) and _WORD_PART.match(text[b]):
+            b += 1
+        if _spelled(text[a:b], trie) != text[a:b]:
+            return True
+    return False
+
+
 def consistent(text: str, trie: Trie) -> str:
     """The text in its one consistent form."""
     if not _HOME_TEXT.search(text) or not places(text, trie):
@@ -224,14 +289,14 @@ def normalized(recs: DataFrame, lexicon: DataFrame, gazetteer: DataFrame, model:
         counts, words = sent.value
         own, trie = CharModel(counts), Trie(words)
         for batch in batches:
-            affected, fixed = [], []
+            flags, fixed = [], []
             for t in batch.column("text").to_pylist():
                 r = repaired(t, own)
-                bad = bool(places(r.replace(LOSSY, ""), trie))
-                affected.append(bad)
+                bad = affected(r.replace(LOSSY, ""), trie)
+                flags.append(bad)
                 fixed.append((consistent(r, trie) if bad else r) if keep_text else None)
             texts = batch.column("text") if keep_text else pa.nulls(len(fixed), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("rec_id"), pa.array(affected, pa.bool_()), texts, pa.array(fixed, pa.string())], names=["field", "rec_id", "affected", "text", "fixed"])
+            yield pa.RecordBatch.from_arrays([batch.column("field"), batch.column("rec_id"), pa.array(flags, pa.bool_()), texts, pa.array(fixed, pa.string())], names=["field", "rec_id", "affected", "text", "fixed"])
 
     odd = F.col("text").rlike("[^\\t\\n\\r\\x20-\\x7E]") & F.col("text").rlike("[^\\t\\n\\r\\x20-\\x7E\\x{A1}-\\x{AC}\\x{AE}-\\x{C1}\\x{C4}-\\x{130}\\x{2013}-\\x{2026}\\x{20AC}\\x{201A}-\\x{201E}]|[\\x{80}-\\x{BF}]|\\p{M}")
     return recs.select("field", "rec_id", "text").where(odd).mapInArrow(run, "field string, rec_id bigint, affected boolean, text string, fixed string")
