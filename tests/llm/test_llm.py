@@ -421,15 +421,36 @@ def test_leaks(spark):
     assert leaks.leaked_items(df.limit(0), items).count() == 0
 
 
-def test_longest_common_words():
+def noisy(rng, w):
+    """A word of four letters or more with one letter dropped, doubled, changed or swapped."""
+    i, how = rng.randint(1, max(1, len(w) - 2)), rng.randint(0, 3)
+    return w if len(w) < 4 else (w[:i] + w[i + 1 :], w[:i] + rng.choice("bdfgkpt") + w[i:], w[:i] + rng.choice("bdfgkpt") + w[i + 1 :], w[: i - 1] + w[i] + w[i - 1] + w[i + 1 :])[how]
+
+
+def test_leaks_with_noise_and_changed_words():
+    rng = random.Random(3)
+    item = "The brittle chalkpit of Zihikamopa painted twelve silent barge pieces beyond the stubborn harvester until no steeple near Gozoromudu measured the feathered kiln"
+    index, words = leaks.GramIndex([item]), item.split()
+    texts = [" ".join(w[:2] + w[3:] if len(w) > 3 else w for w in words)]  # one letter dropped in each longer word
+    for _ in range(60):
+        a = rng.randint(0, len(words) - 14)
+        part = words[a : a + 14]
+        for i in rng.sample(range(3, 11), 3):  # within the passage: its ends are what is equal
+            part[i] = "qqvvxx"[: rng.randint(2, 6)]
+        i = rng.randrange(14)
+        part[i] = part[i] if len(part[i]) < 5 else part[i][:2] + "q" + part[i][3:]
+        texts.append("so " + " ".join(part) + " indeed")
+    assert leaks.passages(["padding text before it. " + t for t in texts], index) == [(i, 0) for i in range(len(texts))]
+    assert leaks.passages([" ".join(words[3:12]), " ".join(sorted(words)), "the of no near " * 30], index) == []
+
+
+def test_near_words_share_a_neighbour():
     rng = random.Random(8)
-    for _ in range(100):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(1, 9))] for _ in range(2))
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
-        assert leaks.common_in_order(a, b) == t[-1][-1]
+    for _ in range(500):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(1, 7)))
+        b = noisy(rng, a)
+        if leaks.near(a, b):
+            assert leaks.neighbours(a) & leaks.neighbours(b)
 
 
 # Problem 10

@@ -3,38 +3,42 @@
 Documents and items are reduced to streams of folded letters: no case, accents, blanks or punctuation, a run of one
 letter kept once, so that form and flooding don't matter. Every position of a document whose q-gram occurs in an item
 gives a hit on a diagonal (document position less item position). Hits are counted in overlapping bands of diagonals
-and, along the item, in blocks; by the q-gram lemma a passage of n letters with at most e edits of one letter shares
-at least n + 1 - q (e + 1) q-grams with its item, so only regions with as many hits are kept. The region is verified
-by a banded alignment of words. The q-gram index of the items is sent to every task; its size is bounded by
-``MAX_ITEMS`` and ``MAX_ITEM_CHARS``, documented parameters of ``leaked_items``; beyond them items go in blocks.
+and, along the document, within the length of a passage; by the q-gram lemma a passage of n letters with at most e
+edits shares at least n + 1 - q (e + 1) q-grams with its item, so only regions with as many hits are kept, the bound
+being computed for the shortest passage of each item and the edit budget that the last test allows. A region is
+verified by a banded alignment of words.
+
+The items are sent to the tasks in blocks of a bounded number of letters, and within a task searched in parts, which
+bounds the hits that are held at a time.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import code_points
+from .common import Memo, code_points
 
-Q = 8
-#: Width of a band of diagonals, in letters; bands overlap by half of it.
-BAND = 64
-#: Shared q-grams that a region must have: a passage of 12 words has 50 letters or more; with 3 edited words in it
-#: (each edit destroys at most its letters and Q - 1 more q-grams) at least this many stay.
-LEAST_SHARED = 14
-#: Words in common, in order and letter by letter, that a region must have before its words are aligned.
-LEAST_COMMON = 8
+Q = 5
+#: Words of an item that a passage must span, and how many of them must be there as they are, up to spelling noise.
+LEAST_WORDS, LEAST_EQUAL = 12, 9
+LEAST_SHARE = LEAST_EQUAL / LEAST_WORDS
+#: Edits of a passage, in places where the streams differ: noise in every word, or in fewer if some are changed.
+EDITS = 8
+#: Width of a band of diagonals, in letters; bands overlap by half of it, which is more than the edits can shift.
+BAND = 32
+#: Hits that a region must have whatever the bound says: three by chance are rare.
+LEAST_SHARED = 3
 #: Words by which the aligned parts are widened and the band of the alignment reaches to each side.
 MARGIN = 10
-#: Letters of an item that go into one block of the index; more items are searched in further blocks.
-BLOCK_LETTERS = 4_000_000
-#: Words of an item that a passage must span, and how many of them must be there as they are, up to spelling noise.
-LEAST_WORDS, LEAST_EQUAL, LEAST_SHARE = 12, 9, 0.72
+#: Letters of items that are sent to the tasks at once, and that are searched at once.
+BLOCK_LETTERS, PART_LETTERS = 4_000_000, 400_000
 
 
 def _fold_table() -> np.ndarray:
@@ -85,9 +89,7 @@ def gram_hashes(letters: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class GramIndex:
-    """All q-grams of a block of items: sorted hashes with item and place, behind a bitmap that drops most misses."""
-
-    BITS = 22
+    """All q-grams of some items: sorted hashes with item and place, behind a bitmap that drops most misses."""
 
     def __init__(self, texts: list[str]):
         flat, offsets = code_points(texts)
@@ -99,14 +101,19 @@ class GramIndex:
         self.hash = h[where][order]
         self.item = owner[where][order]
         self.place = where[order] - first[self.item]
-        self.seen = np.zeros(1 << self.BITS, bool)
-        self.seen[self.hash >> np.uint64(64 - self.BITS)] = True
+        # Sixteen bits a q-gram at least, so that few others pass.
+        self.bits = max(20, int(np.ceil(np.log2(16 * len(where) + 1))))
+        self.seen = np.zeros(1 << self.bits, bool)
+        self.seen[self.hash >> np.uint64(64 - self.bits)] = True
         self.words = [fold_words(t) for t in texts]
         self.word_ends = [np.cumsum([len(w) for w in ws]) for ws in self.words]
+        sizes = [passage_letters(ends) for ends in self.word_ends]
+        self.shortest, self.longest = (np.array(x, np.int64) for x in zip(*sizes)) if sizes else (np.zeros(0, np.int64),) * 2
+        self.least = np.maximum(LEAST_SHARED, self.shortest + 1 - Q * (EDITS + 1))
 
     def hits(self, h: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in the documents' letters, entry of the index) of equal q-grams."""
-        at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.BITS)] & valid)
+        at = np.flatnonzero(self.seen[h >> np.uint64(64 - self.bits)] & valid)
         lo = np.searchsorted(self.hash, h[at], "left")
         n = np.searchsorted(self.hash, h[at], "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
@@ -116,15 +123,30 @@ class GramIndex:
         return np.repeat(at, n), entry
 
 
+def passage_letters(ends: np.ndarray) -> tuple[int, int]:
+    """Letters of the shortest and the longest run of LEAST_WORDS words of an item, or of the whole item."""
+    ends = np.concatenate([[0], ends])
+    n = min(LEAST_WORDS, len(ends) - 1)
+    sizes = ends[n:] - ends[: len(ends) - n]
+    return int(sizes.min()), int(sizes.max())
+
+
+class _Folded(dict):
+    """Folded letter of a code point, a blank for all else."""
+
+    def __missing__(self, c: int) -> str:
+        f = fold_table()[c] if c < 0x30000 else 0
+        self[c] = out = chr(f) if f else " "
+        return out
+
+
+_FOLDED = _Folded()
+_RUN = re.compile(r"(\S)\1+")
+
+
 def fold_words(text: str) -> list[str]:
     """Words as folded letters, runs kept once."""
-    table, out = fold_table(), []
-    for w in re.split(r"[\s\W_]+", unicodedata.normalize("NFC", text)):
-        letters = [chr(table[min(ord(c), 0x2FFFF)]) for c in w if table[min(ord(c), 0x2FFFF)]]
-        letters = [c for i, c in enumerate(letters) if not i or letters[i - 1] != c]
-        if letters:
-            out.append("".join(letters))
-    return out
+    return _RUN.sub(r"\1", unicodedata.normalize("NFC", text).translate(_FOLDED)).split()
 
 
 def near(a: str, b: str) -> bool:
@@ -140,48 +162,62 @@ def near(a: str, b: str) -> bool:
     return ra[1:] == rb[1:] or ra[1:] == rb or ra == rb[1:] or (ra[2:] == rb[2:] and ra[:2] == rb[:2][::-1])
 
 
-def common_in_order(item: list[str], part: list[str]) -> int:
-    """Length of the longest common subsequence of words, one big integer holding a row of the table."""
-    where: dict[str, int] = {}
-    for i, w in enumerate(item):
-        where[w] = where.get(w, 0) | 1 << i
-    full = (1 << len(item)) - 1
-    row = full
-    for w in part:
-        hit = where.get(w)
-        if hit:
-            both = row & hit
-            row = (row + both | row - both) & full
-    return len(item) - row.bit_count()
+def neighbours(word: str) -> set[str]:
+    """A word and, from four letters on, what is left of it without one letter: words that are near share one of these."""
+    return {word} if len(word) < 3 else {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
 
+folded = Memo(fold_words, 2_000)
+near_keys = Memo(neighbours, 100_000)
 
-def aligned(item: list[str], part: list[str], band: int) -> tuple[int, int]:
-    """Best local alignment of words within ``band`` words of the corners: (words of the item it spans, words equal).
+
+def could_hold(item: list[str], part: list[str]) -> bool:
+    """Whether the part has a near word for enough of some LEAST_WORDS words of the item in a row.
+
+    An alignment that spans more words than that, with its equal words as far apart as they can be, has one fewer than
+    LEAST_EQUAL in its best window, so no passage is lost.
+    """
+    have: set[str] = set()
+    for w in set(part):
+        have |= near_keys[w]
+    total = np.cumsum([0, *(not near_keys[w].isdisjoint(have) for w in item)])
+    n = min(LEAST_WORDS, len(item))
+    return int((total[n:] - total[: len(total) - n]).max()) >= LEAST_EQUAL - 1
+
+
+def holds(item: list[str], part: list[str], band: int) -> bool:
+    """Whether a local alignment of words within ``band`` words of the corners spans a passage of the item.
 
     Gain 1 for a word that is the same up to spelling noise, -1 for one changed, dropped or put in, so that a passage isn't
-    drawn out into text that shares less than half of its words with the item.
+    drawn out into text that shares less than half of its words with the item. Only pairs of equal words are visited: what
+    lies between two of them costs the larger number of words skipped. Each pair holds its best alignment; the first one
+    that spans enough words with enough of them equal will do.
     """
-    best, prev = (0, 0, 0), {}
-    none = (0, 0, 0)
-    same: dict[tuple[str, str], bool] = {}
+    reach = band + max(0, len(part) - len(item))
+    alike: dict[str, set[int]] = {}
+    for j, b in enumerate(part):
+        for k in near_keys[b]:
+            alike.setdefault(k, set()).add(j)
+    ends: list[tuple[int, int, int, int, int]] = []
+    most = 0
     for i, a in enumerate(item):
-        row: dict[int, tuple[int, int, int]] = {}
-        left = none
-        for j in range(max(0, i - band), min(len(part), i + band + max(0, len(part) - len(item)) + 1)):
-            b = part[j]
-            eq = a == b or (a[0] == b[0] or a[-1] == b[-1]) and (same[a, b] if (a, b) in same else same.setdefault((a, b), near(a, b)))
-            s, span, n = prev.get(j - 1, none)
-            c = (s + 1, span + 1, n + 1) if eq else (s - 1, span + 1, n)
-            s, span, n = prev.get(j, none)
-            c = max(c, (s - 1, span + 1, n), (left[0] - 1, left[1], left[2]))
-            if c[0] > 0:
-                row[j] = left = c
-                if c > best:
-                    best = c
-            else:
-                left = none
-        prev = row
-    return best[1], best[2]
+        row = []
+        for j in sorted({j for k in near_keys[a] for j in alike.get(k, ()) if i - band <= j <= i + reach and (part[j] == a or near(a, part[j]))}):
+            best = (1, 1, 1)
+            for p, q, s, span, n in reversed(ends):
+                if i - p - 1 > most:
+                    break
+                if q < j:
+                    s -= max(i - p, j - q) - 1
+                    if s >= 0 and (s + 1, span + i - p, n + 1) > best:
+                        best = (s + 1, span + i - p, n + 1)
+            s, span, n = best
+            if span >= LEAST_WORDS - 1 and n >= LEAST_EQUAL and n >= LEAST_SHARE * span:
+                return True
+            most = max(most, s)
+            row.append((i, j, *best))
+        ends += row
+    return False
 
 
 def passages(texts: list[str], index: GramIndex) -> list[tuple[int, int]]:
@@ -193,79 +229,102 @@ def passages(texts: list[str], index: GramIndex) -> list[tuple[int, int]]:
     if not len(at):
         return []
     item, diagonal = index.item[entry], at - index.place[entry]
-    doc = owner[at]
-    out = set()
-    # Bands of diagonals, each position in two of them.
-    key = np.stack([np.concatenate([doc, doc]), np.concatenate([item, item]), np.concatenate([diagonal // BAND * 2, (diagonal + BAND // 2) // BAND * 2 + 1])])
-    order = np.lexsort(key[::-1])
-    k = key[:, order]
-    new = np.ones(k.shape[1], bool)
-    new[1:] = (k[:, 1:] != k[:, :-1]).any(0)
+    # Bands of diagonals, each position in two of them; hits of one text, item and band in the order of the text.
+    span = len(letters) + int(index.place.max()) + 1
+    bands = span // BAND * 2 + 4
+    shifted = diagonal + int(index.place.max())
+    own = owner[at].astype(np.int64) * len(index.words) + item
+    key = np.concatenate([own * bands + shifted // BAND * 2, own * bands + (shifted + BAND // 2) // BAND * 2 + 1])
+    at2, place2, item2 = np.concatenate([at, at]), np.concatenate([index.place[entry]] * 2), np.concatenate([item, item])
+    order = np.argsort(key, kind="stable")
+    key, at2, place2, item2 = key[order], at2[order], place2[order], item2[order]
+    # As many hits as the item needs within the length of its longest passage.
+    last = np.arange(len(key)) + index.least[item2] - 1
+    ok = np.flatnonzero(last < len(key))
+    ok = ok[key[last[ok]] == key[ok]]
+    ok = ok[at2[last[ok]] - at2[ok] <= index.longest[item2[ok]] + EDITS]
+    if not len(ok):
+        return []
+    # Windows of one text and item that are close to each other make one region.
+    pair, lo, hi = owner[at2[ok]].astype(np.int64) * len(index.words) + item2[ok], at2[ok], at2[last[ok]]
+    first, final = np.minimum(place2[ok], place2[last[ok]]) - BAND, np.maximum(place2[ok], place2[last[ok]]) + BAND
+    order = np.lexsort((lo, pair))
+    pair, lo, hi, first, final = pair[order], lo[order], hi[order], first[order], final[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (lo[1:] > lo[:-1] + int(index.longest.max()) + 2 * BAND)
     starts = np.flatnonzero(new)
-    sizes = np.diff(np.append(starts, k.shape[1]))
-    at2, place2 = np.concatenate([at, at])[order], np.concatenate([index.place[entry]] * 2)[order]
-    regions: dict[tuple[int, int], list[list[int]]] = {}
-    for s, n in zip(starts[sizes >= LEAST_SHARED], sizes[sizes >= LEAST_SHARED]):
-        a, b = at2[s : s + n], place2[s : s + n]
-        regions.setdefault((int(k[0, s]), int(k[1, s])), []).append([int(a.min()), int(a.max()), int(b.min()), int(b.max())])
-    for (d, i), spans in regions.items():
-        spans.sort()
-        merged = [spans[0]]
-        for r in spans[1:]:
-            m = merged[-1]
-            if r[0] <= m[1] + 2 * BAND:
-                m[1:] = [max(m[1], r[1]), min(m[2], r[2]), max(m[3], r[3])]
-            else:
-                merged.append(r)
-        for lo, hi, first, last in merged:
-            # The region and its part of the item, both widened.
-            end = min(hi + Q, len(place) - 1)
-            a = max(0, int(place[lo]) - 8 * MARGIN - int(offsets[d]))
-            b = int(place[end]) + 8 * MARGIN - int(offsets[d]) if int(owner[end]) == d else None
-            part = fold_words(texts[d][a:b])
-            ends = index.word_ends[i]
-            words = index.words[i][max(0, int(np.searchsorted(ends, first)) - MARGIN) : int(np.searchsorted(ends, last + Q)) + MARGIN]
-            if common_in_order(words, part) < LEAST_COMMON:
-                continue
-            span, equal = aligned(words, part, 2 * MARGIN)
-            if span >= LEAST_WORDS - 1 and equal >= LEAST_EQUAL and equal >= LEAST_SHARE * span:
-                out.add((d, i))
-                break
+    regions = zip((pair[starts] // len(index.words)).tolist(), (pair[starts] % len(index.words)).tolist(), lo[starts].tolist(), np.maximum.reduceat(hi, starts).tolist(), np.minimum.reduceat(first, starts).tolist(), np.maximum.reduceat(final, starts).tolist())
+    out: set[tuple[int, int]] = set()
+    for d, i, lo_, hi_, first_, final_ in regions:
+        if (d, i) in out:
+            continue
+        # The region and its part of the item, both widened.
+        end = min(hi_ + Q, len(place) - 1)
+        a = max(0, int(place[lo_]) - 8 * MARGIN - int(offsets[d]))
+        b = int(place[end]) + 8 * MARGIN - int(offsets[d]) if int(owner[end]) == d else None
+        part = folded[texts[d][a:b]]
+        ends = index.word_ends[i]
+        words = index.words[i][max(0, int(np.searchsorted(ends, first_)) - MARGIN) : int(np.searchsorted(ends, final_ + Q)) + MARGIN]
+        if could_hold(words, part) and holds(words, part, 2 * MARGIN):
+            out.add((d, i))
     return sorted(out)
 
 
+#: The index of the last items that a Python worker was sent.
+_LAST: dict[str, list[GramIndex]] = {}
+
+
+def _indexes(name: str, texts: list[str]) -> list[tuple[int, GramIndex]]:
+    """(number of the first item, index) of each part of the items; made once in each worker."""
+    if name not in _LAST:
+        parts, size = [[0, 0]], 0
+        for i, t in enumerate(texts):
+            if size + len(t) > PART_LETTERS and i > parts[-1][0]:
+                parts.append([i, i])
+                size = 0
+            parts[-1][1], size = i + 1, size + len(t)
+        _LAST.clear()
+        _LAST[name] = [(lo, GramIndex(texts[lo:hi])) for lo, hi in parts]
+    return _LAST[name]
+
+
 def leaked_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_letters: int = BLOCK_LETTERS) -> DataFrame:
     """(doc_id, item_id): each document with each item of which it holds a passage of twelve words or more.
 
-    Null and empty texts hold none; repeated documents give repeated checks but one pair. The index is sent to the
-    tasks in blocks of at most ``block_letters`` characters of items, so its size is bounded whatever the items are:
+    Null and empty texts hold none; repeated documents give repeated checks but one pair. The items are sent to the
+    tasks in blocks of at most ``block_letters`` characters, so what is sent at once is bounded whatever the items are:
     documents are scanned once per block.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.select(item_id, item_text).where(f"`{item_text}` is not null").toLocalIterator():
-        if size + len(r[1]) > block_letters and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r[0], r[1]))
-        size += len(r[1])
     slim = docs.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"`{text_col}` text").where("doc_id is not null and text is not null")
-    found = None
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = GramIndex([t for _, t in sent.value])
+    def searched(block: list[tuple[int, str]]) -> DataFrame:
+        name, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = [i for i, _ in sent.value]
+            indexes = _indexes(name, [t for _, t in sent.value])
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 texts = batch.column(1).to_pylist()
-                pairs = []
-                for lo in range(0, len(texts), 2000):
-                    pairs += [(lo + d, i) for d, i in passages(texts[lo : lo + 2000], index)]
+                pairs, lo = [], 0
+                while lo < len(texts):
+                    hi, size = lo, 0
+                    while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= PART_LETTERS):
+                        hi, size = hi + 1, size + len(texts[hi])
+                    for first, index in indexes:
+                        pairs += [(lo + d, first + i) for d, i in passages(texts[lo:hi], index)]
+                    lo = hi
                 yield pa.RecordBatch.from_arrays([pa.array([doc_ids[d] for d, _ in pairs], pa.int64()), pa.array([ids[i] for _, i in pairs], pa.int64())], names=["doc_id", "item_id"])
 
-        part = slim.mapInArrow(run, "doc_id bigint, item_id bigint")
-        found = part if found is None else found.unionByName(part)
+        return slim.mapInArrow(run, "doc_id bigint, item_id bigint")
+
+    found, block, size = None, [], 0
+    for r in items.select(item_id, item_text).where(f"`{item_text}` is not null").toLocalIterator():
+        if size + len(r[1]) > block_letters and block:
+            found = searched(block) if found is None else found.unionByName(searched(block))
+            block, size = [], 0
+        block.append((r[0], r[1]))
+        size += len(r[1])
+    found = searched(block) if found is None else found.unionByName(searched(block))
     return found.distinct()
