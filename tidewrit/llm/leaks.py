@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from .common import Memo, code_points
 
 Q = 5
-#: Words of an item that a passage must span, and how many of them must be there as they are, up to spelling noise.
-LEAST_WORDS, LEAST_EQUAL = 12, 9
+#: Words of an item that a passage must span, and how many of them must be there; a word with spelling noise counts NOISY.
+LEAST_WORDS, LEAST_EQUAL, NOISY = 12, 9, 0.8
 LEAST_SHARE = LEAST_EQUAL / LEAST_WORDS
 #: Edits of a passage, in places where the streams differ: noise in every word, or in fewer if some are changed.
 EDITS = 8
@@ -198,21 +198,22 @@ def holds(item: list[str], part: list[str], band: int) -> bool:
     for j, b in enumerate(part):
         for k in near_keys[b]:
             alike.setdefault(k, set()).add(j)
-    ends: list[tuple[int, int, int, int, int]] = []
+    ends: list[tuple[int, int, int, int, float]] = []
     most = 0
     for i, a in enumerate(item):
         row = []
         for j in sorted({j for k in near_keys[a] for j in alike.get(k, ()) if i - band <= j <= i + reach and (part[j] == a or near(a, part[j]))}):
-            best = (1, 1, 1)
+            worth = 1.0 if part[j] == a else NOISY
+            best = (1, 1, worth)
             for p, q, s, span, n in reversed(ends):
                 if i - p - 1 > most:
                     break
                 if q < j:
                     s -= max(i - p, j - q) - 1
-                    if s >= 0 and (s + 1, span + i - p, n + 1) > best:
-                        best = (s + 1, span + i - p, n + 1)
+                    if s >= 0 and (s + 1, span + i - p, n + worth) > best:
+                        best = (s + 1, span + i - p, n + worth)
             s, span, n = best
-            if span >= LEAST_WORDS - 1 and n >= LEAST_EQUAL and n >= LEAST_SHARE * span:
+            if span >= LEAST_WORDS - 1 and n > LEAST_EQUAL - 1e-9 and n > LEAST_SHARE * span - 1e-9:
                 return True
             most = max(most, s)
             row.append((i, j, *best))
