@@ -92,6 +92,37 @@ def test_languages(parser):
     assert [[language.LANGUAGES[i] for i, _ in s] for s in parser.segments([mixed, "", "!!! 12", "母は雨を見ていました", "邮递员在等公共汽车"])] == [["en", "nl", "ru"], [], [], ["ja"], ["zh"]]
 
 
+def test_packed_automaton_knows_all_substrings():
+    import numpy as np
+
+    rng = random.Random(2)
+    for _ in range(40):
+        text = [rng.choice([0, 1, 2, 5, 0x4E00, 0x9FFF]) for _ in range(rng.randint(1, 40))]
+        a = language.Automaton(np.array(text))
+
+        def has(part):
+            s = 0
+            for c in part:
+                at = a.base[s] + c
+                if a.check[at] != s:
+                    return False
+                s = a.target[at]
+            return True
+
+        assert all(has(text[i:j]) for i in range(len(text)) for j in range(i, len(text) + 1))
+        for _ in range(40):
+            part = [rng.choice([0, 1, 2, 5, 0x4E00, 0x9FFF]) for _ in range(rng.randint(1, 4))]
+            assert has(part) == any(text[i : i + len(part)] == part for i in range(len(text)))
+
+
+def test_languages_of_other_scripts_by_parsing():
+    ru, zh, ja, th = "младшая сестра забыла закрыть окно и никто этого не заметил", "邮递员在等公共汽车我妈妈买了一把新雨伞", "母親雨見。妹窓閉忘。母は雨を見ていました", "พี่สาวของฉันลืมปิดหน้าต่างเมื่อคืนนี้"
+    labelled = {lang: shuffled(lang, 60, 1) for lang in language.LATIN}
+    p = language.fit({**labelled, "ru": [ru] * 3, "zh": [zh] * 3, "ja": [ja] * 3, "ar": [], "hi": [], "th": [th] * 3})
+    got = p.segments([ru, "邮递员买了雨伞", "母親雨見", th, "ru: " + ru[:20], "हम घर जा रहे हैं"])
+    assert [[language.LANGUAGES[i] for i, _ in s] for s in got] == [["ru"], ["zh"], ["ja"], ["th"], ["ru"], ["hi"]]
+
+
 def test_label_notations(spark):
     df = spark.createDataFrame([("en_US",), ("Dutch",), ("NL-be",), ("??",), ("",), (None,), ("xx",), ("pt",), ("und",)], "l string")
     assert [r[0] for r in df.select(language.label_language(F.col("l"))).collect()] == ["en", "nl", "nl", None, None, None, None, "other", "und"]

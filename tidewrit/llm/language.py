@@ -1,14 +1,14 @@
 """Problem 2: the language of each text and of each segment of a text that changes language.
 
 Labelled text of each language is made into a suffix automaton. A text is parsed against each automaton into longest
-matches; the language that needs the fewest phrases per character fits best. Phrases are counted per word, so that one
-run of the automata also tells where a text changes language: the cheapest sequence of languages over the words is
-found by dynamic programming, changes being dear within a sentence and cheap between sentences. All automata run over
-all texts of a batch at once, one character of each text at a time. Letters of a script that only one of the languages
-uses decide for it as such.
-
-Labels are partly wrong: after a first fit, training sentences that another language explains better are dropped, and
-the automata are built again.
+matches; the language that needs the fewest phrases fits best. A letter that a language's alphabet lacks is a phrase of
+its own that costs an escape besides. Phrases are counted per word, so that one run of the automata also tells where a
+text changes language: the cheapest sequence of languages over the words is found by dynamic programming, changes being
+cheap between sentences and dear where no mark ends one. The automata run over all texts of a batch at once, one
+character of each text at a time, each over the texts that have letters of its alphabet.
+
+Labels are partly wrong: after a first fit, training sentences that another language explains clearly better are
+dropped, and the automata are built again.
 """
 
 from __future__ import annotations
@@ -35,20 +35,29 @@ NOTATIONS = {
     "ar": "ar ara arabic العربية", "hi": "hi hin hindi हिन्दी", "th": "th tha thai ไทย", "und": "und",
 }
 BY_NOTATION = {n: lang for lang, names in NOTATIONS.items() for n in names.split()}
-#: Labelled messages of each language that the automata are built from (the smallest hashes), and letters at most.
-TRAINING, LETTERS = 2_500, 40_000
-#: Letters of a language below which its half of the sample can't judge the other half.
-LEAST_LETTERS = 1_000
-#: Cost, in phrases, of a change of language between sentences and within one.
+#: Labelled messages of each language that the automata are built from at most: those with the smallest hashes.
+TRAINING = 1_200
+#: A training sentence is dropped if another language needs less than this share of the phrases of its own.
+CLEARLY = 0.8
+#: Cost, in phrases, of a change of language after a sentence mark, and of one where no mark ends a sentence.
 CHANGE, CHANGE_WITHIN = 2.0, 6.0
+#: What a letter outside of a language's alphabet costs besides the phrase that it is.
+ESCAPE = 0.5
+#: Phrases that one word can speak against a language at most, so that a name doesn't change it, and a run of letters
+#: without blanks, which is more than a word.
+CLIP, CLIP_RUN = 3.0, 8.0
 #: What must be gone before parsing: links, handles, tags, addresses, line breaks, smileys.
 _noise = re.compile(r"https?:/\S+|www\.\S+|\S+@\S+\.\S+|[@#＠＃]\w+|(?i:<LINEBREAK>)|(?<!\w)" + _SMILEY)
 
-_LETTERS = " 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
-_SIZE = 64
+_LATIN_LETTERS = " 'abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 _BREAK, _SPACE, _DIGIT, _OTHER = 60, 0, 61, 62
 #: Kinds of other scripts, coded from 64 on: the languages that use them.
 _SCRIPTS = [("ru", [(0x400, 0x52F)]), ("zh", [(0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2FFFF), (0xF900, 0xFAFF)]), ("ja", [(0x3041, 0x30FF), (0x31F0, 0x31FF), (0xFF66, 0xFF9F)]), ("ar", [(0x620, 0x6FF), (0x750, 0x77F), (0xFB50, 0xFDFF), (0xFE70, 0xFEFC)]), ("hi", [(0x900, 0x963), (0x971, 0x97F)]), ("th", [(0xE01, 0xE3A), (0xE40, 0xE4E)])]
+#: Kinds of letters in each language's alphabet; those of 64 and above are scripts, 1 stands for the Latin letters.
+ALPHABETS = {**{lang: [1] for lang in LATIN}, "ru": [64], "zh": [65], "ja": [65, 66], "ar": [67], "hi": [68], "th": [69]}
+_UNSPACED = (65, 66, 69)
+#: Symbols of the automata: Latin codes as they are, other letters by their code point, rare ideographs folded below this.
+_SYMBOLS = 0xA000
 _tables: list[np.ndarray] = []
 
 
@@ -56,13 +65,13 @@ def codes() -> np.ndarray:
     """Code of each code point: 0 a blank, 1..59 a Latin letter, 60 a sentence mark, 61 a digit, 62 other, 64+ a script."""
     if not _tables:
         t = np.full(0x110000, _OTHER, np.uint8)
-        for i, c in enumerate(_LETTERS):
+        for i, c in enumerate(_LATIN_LETTERS):
             t[ord(c)] = i
             if len(c.upper()) == 1 and c != " ":
                 t[ord(c.upper())] = i
         for c in " \t\n\r 　":
             t[ord(c)] = _SPACE
-        t[ord("’")] = t[ord("`")] = _LETTERS.index("'")
+        t[ord("’")] = t[ord("`")] = _LATIN_LETTERS.index("'")
         for c in ".!?…。！？｡．؟।॥۔•\n":
             t[ord(c)] = _BREAK
         t[0x1F300:0x1FB00] = t[0x2600:0x27C0] = _BREAK
@@ -76,7 +85,11 @@ def codes() -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a text over the Latin codes, as a dense table of next states (-1: no such substring)."""
+    """Suffix automaton of a sequence of symbols, its transitions packed into one array of slots.
+
+    The transition of state s by c is in slot ``base[s] + c`` if ``check`` names s there. Most states have one
+    transition, so there are hardly more slots than transitions, and a lookup is a few array reads.
+    """
 
     def __init__(self, text: np.ndarray):
         nxt: list[dict[int, int]] = [{}]
@@ -104,10 +117,41 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.table = np.full((len(nxt), _SIZE), -1, np.int32)
-        for s, edges in enumerate(nxt):
-            for c, t in edges.items():
-                self.table[s, c] = t
+        self._pack(nxt)
+
+    def _pack(self, edges: list[dict[int, int]]) -> None:
+        """States with several transitions are laid out one after another where they fit, the others fill the holes."""
+        total = sum(map(len, edges))
+        used = bytearray(2 * _SYMBOLS + 3 * total + 4096)
+        base = np.zeros(len(edges), np.int32)
+        slots, states, targets = [], [], []
+
+        def place(s: int, at: int, first: int) -> None:
+            base[s] = at - first
+            for c, t in edges[s].items():
+                used[at + c - first] = 1
+                slots.append(at + c - first), states.append(s), targets.append(t)
+
+        at = _SYMBOLS
+        several = [s for s, out in enumerate(edges) if len(out) > 1]
+        for s in sorted(several, key=lambda s: -len(edges[s])):
+            first, *others = sorted(edges[s])
+            at = used.index(0, at)
+            while any(map(used.__getitem__, [at + c - first for c in others])):
+                at = used.index(0, at + 1)
+            place(s, at, first)
+            if at + _SYMBOLS + 4096 > len(used):
+                used.extend(bytes(len(used)))
+        free = _SYMBOLS
+        for s, out in enumerate(edges):
+            if len(out) == 1:
+                free = used.index(0, free)
+                place(s, free, next(iter(out)))
+                if free + 2 > len(used):
+                    used.extend(bytes(len(used)))
+        size = max(slots, default=0) + _SYMBOLS + 1
+        self.base, self.check, self.target = base, np.full(size, -1, np.int32), np.zeros(size, np.int32)
+        self.check[slots], self.target[slots] = states, targets
 
 
 def prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,85 +173,81 @@ def prepared(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return c[~drop], starts[offsets], flat[~drop]
 
 
+def symbols(c: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Symbols of prepared characters; what is no letter or blank has none that matters."""
+    wide = np.where(flat < _SYMBOLS, flat, 0x4E00 + flat % 0x5000).astype(np.int32)
+    return np.where(c < _BREAK, c, np.where(c >= 64, wide, 0))
+
+
 class Parser:
-    """The automata of the Latin languages; counts the phrases that each needs."""
-
-    def __init__(self, tables: list[np.ndarray], han: dict[str, set[str]]):
-        self.sizes = [len(t) for t in tables]
-        self.base = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64) * _SIZE
-        self.table = np.concatenate([t.ravel() for t in tables])
-        self.han = han
-
-    def phrase_starts(self, c: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """For each language and place of a Latin letter or blank: whether a new phrase starts there."""
-        n = len(offsets) - 1
-        lengths = np.diff(offsets)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lens = offsets[:-1][order], lengths[order]
-        out = np.zeros((len(self.sizes), len(c)), bool)
-        state = np.zeros((len(self.sizes), n), np.int64)
-        base = self.base[:, None]
-        active = n
-        for t in range(int(lens[0]) if n else 0):
+    """The automata of all languages; counts the phrases that each needs."""
+
+    def __init__(self, automata: dict[str, Automaton]):
+        self.automata = automata
+
+    def _starts(self, languages: list[str], symbol: np.ndarray, known: np.ndarray, offsets: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """For each of languages with one alphabet, and each character, whether a new phrase starts there; ``known`` are
+        the blanks and letters of the alphabet, ``chosen`` the texts to parse."""
+        own = [self.automata[x] for x in languages]
+        states = np.concatenate([[0], np.cumsum([len(a.base) for a in own])]).astype(np.int64)
+        slots = np.concatenate([[0], np.cumsum([len(a.check) for a in own])]).astype(np.int64)
+        base = np.concatenate([a.base + k for a, k in zip(own, slots)])
+        check = np.concatenate([np.where(a.check >= 0, a.check + k, -1) for a, k in zip(own, states)]).astype(np.int32)
+        target = np.concatenate([a.target + k for a, k in zip(own, states)]).astype(np.int32)
+        root = states[:-1, None]
+        lengths = np.diff(offsets)[chosen]
+        order = chosen[np.argsort(-lengths, kind="stable")]
+        starts, lens = offsets[:-1][order], np.diff(offsets)[order]
+        out = np.zeros((len(own), len(symbol)), bool)
+        state = np.repeat(root, len(order), 1)
+        active = len(order)
+        for t in range(int(lens[0]) if len(lens) else 0):
             while active and lens[active - 1] <= t:
                 active -= 1
             at = starts[:active] + t
-            code = c[at].astype(np.int64)
-            known = code < _BREAK
-            idx = base + state[:, :active] * _SIZE + np.where(known, code, 0)
-            nxt = self.table[idx]
-            miss = (nxt < 0) | ~known
-            fresh = self.table[base + np.where(known, code, 0)]
-            out[:, at] = miss & known
-            state[:, :active] = np.where(miss, np.where(known, np.maximum(fresh, 0), 0), nxt)
+            c, ok = symbol[at], known[at]
+            s = state[:, :active]
+            slot = base[s] + c
+            hit = (check[slot] == s) & ok
+            slot0 = base[root] + c
+            fresh = np.where((check[slot0] == root) & ok, target[slot0], root)
+            out[:, at] = ~hit & ok
+            state[:, :active] = np.where(hit, target[slot], fresh)
         return out
 
     def word_costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text of each word, cost of each word in each language, whether a sentence mark precedes it, whether it has letters of the language)."""
+        """(text of each word, cost of each word in each language, whether a sentence mark precedes it, its letters)."""
         c, offsets, flat = prepared(texts)
-        starts = self.phrase_starts(c, offsets)
         letter = ((c > 0) & (c < _BREAK)) | (c >= 64)
         owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
         script = np.where(c >= 64, c, np.where(letter, 1, 0))
         first = letter.copy()
-        first[1:] &= ~letter[:-1] | (owner[1:] != owner[:-1]) | (script[1:] != script[:-1]) & ~((script[1:] >= 65) & (script[1:] <= 66) & (script[:-1] >= 65) & (script[:-1] <= 66))
+        han = (script >= 65) & (script <= 66)
+        first[1:] &= ~letter[:-1] | (owner[1:] != owner[:-1]) | (script[1:] != script[:-1]) & ~(han[1:] & han[:-1])
         heads = np.flatnonzero(first)
         if not len(heads):
             z = np.zeros(0, np.int64)
             return z, np.zeros((0, len(LANGUAGES))), z.astype(bool), z
         # A word owns the places from its first letter to the next word's, but for the blank before that.
-        ends = np.append(heads[1:], len(c))
-        latin = c[heads] < _BREAK
         size = np.add.reduceat(letter.astype(np.int64), heads)
-        cost = np.full((len(heads), len(LANGUAGES)), 0.0)
-        for k in range(len(LATIN)):
-            s = starts[k].astype(np.int32)
-            n = np.add.reduceat(s * letter, heads)  # a phrase that starts with the blank counts for the next word
-            blank = np.zeros(len(heads), np.int32)
-            before = heads - 1
-            ok = (before >= 0) & (c[np.maximum(before, 0)] == _SPACE)
-            blank[ok] = s[before[ok]]
-            cost[:, k] = np.where(latin, n + blank, 0)
-        # To the other scripts' languages a Latin word is a foreign one: dear, but not so that a name changes language.
-        long_latin = np.maximum(np.minimum(3.0, 0.5 + size * 0.4), cost[:, : len(LATIN)].max(1))
-        cost[:, len(LATIN) :] = np.where(latin, long_latin, 0)[:, None]
-        for k, (lang, _) in enumerate(_SCRIPTS):
-            mine = c[heads] == 64 + k
-            kana = (lang == "zh") | (lang == "ja")
-            foreign = np.minimum(2.5, 1.0 + size * 0.15) if not kana else np.minimum(8.0, 1.0 + size * 0.5)
-            if lang == "th":
-                foreign = np.minimum(8.0, 1.0 + size * 0.3)
-            cost[mine] = foreign[mine, None]
-            cost[mine, LANGUAGES.index(lang)] = 0.0
-        zh, ja = LANGUAGES.index("zh"), LANGUAGES.index("ja")
-        for w in np.flatnonzero((c[heads] == 65) | (c[heads] == 66)).tolist():
-            part = flat[heads[w] : ends[w]]
-            s = "".join(map(chr, part[(c[heads[w] : ends[w]] == 65) | (c[heads[w] : ends[w]] == 66)].tolist()))
-            cost[w, :] = min(8.0, 1.0 + len(s) * 0.5)
-            if any("ぁ" <= ch <= "ヿ" or "ｦ" <= ch <= "ﾟ" for ch in s):
-                cost[w, ja], cost[w, zh] = 0.0, min(6.0, 1.0 + len(s) * 0.3)
-            else:
-                cost[w, zh], cost[w, ja] = self._han_phrases(s, "zh"), self._han_phrases(s, "ja") + 0.1
+        symbol = symbols(c, flat)
+        before = np.maximum(heads - 1, 0)
+        blank = (heads > 0) & (c[before] == _SPACE) & (owner[before] == owner[heads])
+        cost = np.empty((len(heads), len(LANGUAGES)))
+        groups: dict[tuple[int, ...], list[str]] = {}
+        for lang in LANGUAGES:
+            groups.setdefault(tuple(ALPHABETS[lang]), []).append(lang)
+        for alphabet, languages in groups.items():
+            own = np.isin(script, alphabet)
+            foreign = np.add.reduceat((letter & ~own) * (1 + ESCAPE), heads)
+            chosen = np.flatnonzero(np.bincount(owner[own], minlength=len(texts)))
+            starts = self._starts(languages, symbol, own | (c == _SPACE), offsets, chosen)
+            for k, lang in enumerate(languages):
+                # A phrase that starts with the blank before a word counts for the word.
+                n = np.add.reduceat((starts[k] & own).astype(np.int32), heads)
+                cost[:, LANGUAGES.index(lang)] = foreign + n + (blank & starts[k][before])
+        clip = np.where(np.isin(script[heads], _UNSPACED), CLIP_RUN, CLIP)
+        cost = np.minimum(cost, (cost.min(1) + clip)[:, None])
         marks = np.zeros(len(c) + 1, np.int64)
         np.cumsum(c == _BREAK, out=marks[1:])
         prev = np.concatenate([[0], heads[:-1]])
@@ -216,16 +256,6 @@ class Parser:
         breaks = (marks[heads] - marks[prev] > 0) | fresh_text
         return owner[heads], cost, breaks, size
 
-    def _han_phrases(self, s: str, lang: str) -> float:
-        grams, n, i = self.han.get(lang, set()), 0, 0
-        while i < len(s):
-            k = i + 1
-            while k < len(s) and s[k - 1 : k + 1] in grams:
-                k += 1
-            n += 1
-            i = k
-        return float(n)
-
     def segments(self, texts: list[str]) -> list[list[tuple[int, float]]]:
         """For each text its segments as (index of the language, confidence); none for a text without words."""
         owner, cost, breaks, size = self.word_costs(texts)
@@ -288,7 +318,7 @@ def training(messages: DataFrame, most: int = TRAINING) -> dict[str, list[str]]:
     label = label_language(F.col("lang"))
     # A bound on the hash keeps what is read closely and sorted small; hashes are uniform, so it holds eight times what
     # is asked. Counting the labels needs no text.
-    counts = messages.select(label.alias("l")).where(F.col("l").isin(*LATIN, "zh", "ja")).groupBy("l").count().collect()
+    counts = messages.select(label.alias("l")).where(F.col("l").isin(*LANGUAGES)).groupBy("l").count().collect()
     keep = F.lit(False)
     for r in counts:
         h = hash_bound(most, r["count"], 8.0)
@@ -302,17 +332,23 @@ def training(messages: DataFrame, most: int = TRAINING) -> dict[str, list[str]]:
     return {lang: [t for _, t in sorted(ts)] for lang, ts in out.items()}
 
 
+_UNSPACED_TEXT = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]{3}")
+
+
 def _pieces(text: str) -> list[str]:
-    return [p.strip() for p in re.split(r"[.!?…:;]+\s|\s[^\w\s]+\s", text) if len(p.strip()) > 6]
+    return [p.strip() for p in re.split(r"[.!?…:;؟۔।॥]+(?=\s|[A-ZÀ-ÞА-Я])|[。！？｡]|\s[^\w\s]+\s", text) if len(p.strip()) > 6]
 
 
 def _triples(piece: str) -> set[tuple[str, ...]]:
+    """Sequences of three words, or of three letters where words aren't set apart."""
+    if _UNSPACED_TEXT.search(piece):
+        return {tuple(piece[i : i + 3]) for i in range(max(1, len(piece) - 2))}
     w = re.findall(r"[^\W\d_]+", re.sub(r"(.)\1{2,}", r"\1", piece.lower()))
     return {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
 
 
 def _voted(pieces: dict[str, list[str]]) -> dict[str, list[str]]:
-    """Pieces at least half of whose word triples are relatively most frequent under their own label."""
+    """Pieces at least two thirds of whose word triples are relatively most frequent under their own label."""
     rates: dict[tuple[str, ...], dict[str, float]] = {}
     for lang, ps in pieces.items():
         for p in ps:
@@ -320,7 +356,7 @@ def _voted(pieces: dict[str, list[str]]) -> dict[str, list[str]]:
                 r = rates.setdefault(t, {})
                 r[lang] = r.get(lang, 0.0) + 1.0 / len(ps)
     best = {t: max(r, key=lambda k: (r[k], k)) for t, r in rates.items()}
-    return {lang: [p for p in ps if 2 * sum(best[t] == lang for t in _triples(p)) >= len(_triples(p))] for lang, ps in pieces.items()}
+    return {lang: [p for p in ps if 3 * sum(best[t] == lang for t in _triples(p)) >= 2 * len(_triples(p))] for lang, ps in pieces.items()}
 
 
 def _fresh(pieces: list[str]) -> list[str]:
@@ -335,44 +371,33 @@ def _fresh(pieces: list[str]) -> list[str]:
     return out
 
 
-def _parser(sentences: dict[str, list[str]], han: dict[str, set[str]]) -> Parser:
-    tables = []
-    for lang in LATIN:
-        c, _, _ = prepared([" " + " ".join(sentences[lang])])
-        c = c[c < _BREAK][:LETTERS]
-        tables.append(Automaton(c).table if len(c) else np.full((1, _SIZE), -1, np.int32))
-    return Parser(tables, han)
+def _parser(sentences: dict[str, list[str]]) -> Parser:
+    automata = {}
+    for lang in LANGUAGES:
+        c, _, flat = prepared([" " + " ".join(sentences[lang])])
+        own = (c == _SPACE) | np.isin(np.where((c > 0) & (c < _BREAK), 1, c), ALPHABETS[lang])
+        automata[lang] = Automaton(symbols(c, flat)[own])
+    return Parser(automata)
 
 
 def fit(labelled: dict[str, list[str]]) -> Parser:
     """Build the automata, drop training sentences that another language explains better, build them again."""
-    han: dict[str, set[str]] = {}
-    for lang in ("zh", "ja"):
-        texts = [t for t in labelled[lang] if any(("ぁ" <= c <= "ヿ") for c in t) == (lang == "ja")]
-        han[lang] = {t[i : i + 2] for t in texts for i in range(len(t) - 1)}
-    sentences = {lang: _fresh(ps) for lang, ps in _voted({lang: [p for t in labelled[lang] for p in _pieces(t)] for lang in LATIN}).items()}
-    parser = _parser(sentences, han)
-    flat = [(lang, p) for lang in LATIN for p in sentences[lang]]
-    if not flat:
-        return parser
-    # A sentence is judged without its own automaton's copy of it only in that noisy labels are few: the languages of
-    # the words vote, so a sentence that one wrong label brought in still looks foreign to the rest of its words.
+    sentences = {lang: _fresh(ps) for lang, ps in _voted({lang: [p for t in labelled[lang] for p in _pieces(t)] for lang in LANGUAGES}).items()}
+    # Each half of the sentences is judged by the automata of the other half, which don't hold copies of them.
     halves = [{lang: ps[k::2] for lang, ps in sentences.items()} for k in (0, 1)]
-    kept: dict[str, list[str]] = {lang: [] for lang in LATIN}
+    kept: dict[str, list[str]] = {lang: [] for lang in LANGUAGES}
     for k in (0, 1):
-        other = _parser(halves[1 - k], han)
-        for lang in LATIN:
-            if sum(map(len, halves[1 - k][lang])) < LEAST_LETTERS:
-                kept[lang] += halves[k][lang]  # too little to judge by
-                continue
-            if not halves[k][lang]:
+        other = _parser(halves[1 - k])
+        for i, lang in enumerate(LANGUAGES):
+            if not halves[k][lang] or not halves[1 - k][lang]:
+                kept[lang] += halves[k][lang]  # nothing to judge, or to judge by
                 continue
             owner, cost, _, _ = other.word_costs(halves[k][lang])
-            total = np.zeros((len(halves[k][lang]), len(LATIN)))
-            np.add.at(total, owner, cost[:, : len(LATIN)])
-            good = total.argmin(1) == LATIN.index(lang)
+            total = np.zeros((len(halves[k][lang]), len(LANGUAGES)))
+            np.add.at(total, owner, cost)
+            good = total.min(1) >= CLEARLY * total[:, i]
             kept[lang] += [p for p, g in zip(halves[k][lang], good) if g]
-    return _parser(kept, han)
+    return _parser(kept)
 
 
 def labelled_segments(messages: DataFrame, lexicon: DataFrame, gazetteer: DataFrame) -> DataFrame:
@@ -384,12 +409,10 @@ def labelled_segments(messages: DataFrame, lexicon: DataFrame, gazetteer: DataFr
     parser = fit(training(messages))
     model = clean_characters(messages.selectExpr("text_orig text"))
     sc = messages.sparkSession.sparkContext
-    sent = sc.broadcast((parser.table, parser.sizes, parser.han, model.counts, lookalikes.vocabulary(lexicon, gazetteer)))
+    sent = sc.broadcast((parser, model.counts, lookalikes.vocabulary(lexicon, gazetteer)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sizes, han, counts, words = sent.value
-        bounds = np.cumsum(sizes)[:-1] * _SIZE
-        own = Parser([t.reshape(-1, _SIZE) for t in np.split(table, bounds)], han)
+        own, counts, words = sent.value
         chars, trie = CharModel(counts), lookalikes.Trie(words)
         for batch in batches:
             texts = batch.column("text").to_pylist()
