@@ -298,6 +298,19 @@ def test_normalize(spark, mode, decoder):
         assert got[1].startswith("see")
 
 
+def test_best_by_token_equals_best_by_place(spark):
+    res, rng = resources(spark), random.Random(5)
+    rows = [(m, i, rng.choice(["c", "u", "foot", "ball", "seee", "you", "yuo", "football", "lol"]), rng.random() < 0.8) for m in range(40) for i in range(8)]
+    t = spark.createDataFrame(rows, "msg_id bigint, pos int, tok string, to_correct boolean")
+    for names in (list(suggest.FULL["nl"]), ["original", "abbreviation", "compound", "smt_token"], ["original", "spelling"]):
+        for tokens in (t, t.drop("to_correct")):
+            want = decide.best_by_place(decide.union({n: suggest.modules(res)[n](tokens) for n in names}), res["lexicon"])
+            at = names.index("compound") if "compound" in names else None
+            got = decide.best_by_token(suggest.compound_rows(tokens, res["lexicon"]) if at is not None else suggest.unchanged_rows(tokens), suggest.token_options(tokens, names, res), res["lexicon"], at)
+            key = lambda df: sorted((r["msg_id"], r["seg"], r["tgt"]) for r in df.collect())
+            assert key(got) == key(want)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "msg_id bigint, pos int, tok string")
     res = resources(spark)

@@ -30,11 +30,6 @@ def phrases(suggestions: DataFrame, keep_all_origins: bool = False) -> DataFrame
     return s.groupBy(*keys).agg(first, modules).select("msg_id", "alt", F.col("first.ori").alias("ori"), "modules")
 
 
-def all_known(t: Column, dictionary: Column) -> Column:
-    """E3 over a collected dictionary column: every part known, and there is one."""
-    return (F.size(t) > 0) & F.forall(t, lambda p: F.array_contains(dictionary, p))
-
-
 def known_phrases(df: DataFrame, column: str, lexicon: DataFrame, out: str = "known") -> DataFrame:
     """Whether all parts of a phrase, set apart by white space, are dictionary words as written; empty is not."""
     from ..functions.text import words
@@ -66,6 +61,26 @@ def best_by_place(suggestions: DataFrame, lexicon: DataFrame) -> DataFrame:
     return s.groupBy("msg_id", "seg").agg(best.alias("b")).select("msg_id", "seg", F.col("b.ori").alias("ori"), F.col("b.alt").alias("tgt"))
 
 
+def best_by_token(rows: DataFrame, options: DataFrame, lexicon: DataFrame, compound_ord: int | None) -> DataFrame:
+    """C3, first version, as ``best_by_place``, where all modules but M4 go by the token: (msg_id, seg, ori, tgt).
+
+    ``rows``: (msg_id, seg, tok, m, ori, alt), with M4's pair if ``compound_ord`` is its place in the order; ``options``:
+    (tok, alt, votes, first). Votes are counted once per distinct token, so a place costs one lookup and no grouping.
+    """
+    o = known_phrases(options, "alt", lexicon).groupBy("tok").agg(F.collect_list(F.struct("alt", "votes", "first", F.col("known").cast("int").alias("known"))).alias("o"))
+    t = rows.join(o, "tok", "left")
+    joins = compound_ord is not None
+    changed = ((F.col("ori") != F.col("tok")) | (F.col("alt") != F.col("tok"))) & F.lit(joins)
+    extra = lambda x: F.when(~changed & (x["alt"] == F.col("tok")) & F.lit(joins), 1).otherwise(0)
+    ord_ = F.lit(compound_ord if joins else 0)
+    place = lambda x: F.struct((-(x["votes"] + x["known"] + extra(x))).alias("score"), F.when(extra(x) > 0, F.least(x["first"], ord_)).otherwise(x["first"]).alias("first"), x["alt"].alias("alt"), F.col("tok").alias("ori"))
+    candidates = F.transform("o", place)
+    joined = F.struct((F.when(F.col("alt") != "", -2).otherwise(-1)).cast("bigint").alias("score"), ord_.alias("first"), F.col("alt"), F.col("ori"))
+    best = F.array_min(F.when(changed, F.concat(candidates, F.array(joined))).otherwise(candidates))
+    t = t.select("msg_id", "seg", "tok", "m", best.alias("b"))
+    return t.select("msg_id", "seg", F.when(F.col("m"), F.col("b.ori")).otherwise(F.col("tok")).alias("ori"), F.when(F.col("m"), F.col("b.alt")).otherwise(F.col("tok")).alias("tgt"))
+
+
 def assemble(decision: DataFrame) -> DataFrame:
     """(msg_id, text_norm) from (msg_id, seg, tgt); empty targets leave no blank."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct("seg", "tgt"))), lambda x: x["tgt"])

@@ -71,32 +71,45 @@ def check(df: DataFrame, column: str, known: DataFrame, out: str = "known") -> D
     return _flag(df, column, known, out)
 
 
-def correct_tokens(tokens: DataFrame, known: DataFrame, language: str = "en") -> DataFrame:
-    """(tok, one, one_ok, two, two_ok, corrected) of each distinct token.
+#: What any of the rules could change; a token without it stays as it is.
+FLOODED = r"(?i)(.)\1\1|(..)\2\2|(...)\3\3|\.\."
 
-    Both words: two; only the shorter one a word: one; else two. Null tokens are dropped.
-    """
-    t = tokens.select("tok").where("tok is not null").distinct().withColumn("p", punctuation(F.col("tok")))
+
+def _corrected(t: DataFrame, known: DataFrame, language: str) -> DataFrame:
+    """Rows with a column ``tok``, with (one, one_ok, two, two_ok, corrected) added. Both words: two; only the shorter one a
+    word: one; else two."""
+    # The rules are dear, and most tokens have nothing for them.
+    flooded = F.col("flooded")
+    t = t.withColumn("flooded", F.col("tok").rlike(FLOODED)).withColumn("p", F.when(flooded, punctuation(F.col("tok"))).otherwise(F.col("tok")))
     if language == "nl":
         ee, eee = to_two_dutch(F.col("p"))
-        t = t.withColumn("ee", ee).withColumn("eee", eee)
+        t = t.withColumn("ee", F.when(flooded, ee).otherwise(F.col("p"))).withColumn("eee", F.when(flooded, eee))
         t = _flag(t, "ee", known, "ee_ok")
         two = F.when(F.col("p").rlike("e{3,}"), F.when(F.col("ee_ok"), F.col("ee")).otherwise(F.col("eee"))).otherwise(chars_to_two(F.col("p")))
-        t = t.withColumn("c", two).withColumn("two", _rounds(F.col("c"), TWO_PAIR, "$1$1"))
+        t = t.withColumn("c", F.when(flooded, two)).withColumn("two", F.when(flooded, _rounds(F.col("c"), TWO_PAIR, "$1$1")).otherwise(F.col("p"))).drop("ee", "eee", "ee_ok", "c")
     else:
-        t = t.withColumn("two", to_two(F.col("p")))
-    t = t.withColumn("one0", to_one(F.col("p"))).withColumn("two_e", F.regexp_replace("two", "e{3,}", "eeë"))
+        t = t.withColumn("two", F.when(flooded, to_two(F.col("p"))).otherwise(F.col("p")))
+    t = t.withColumn("one0", F.when(flooded, to_one(F.col("p"))).otherwise(F.col("p"))).withColumn("two_e", F.regexp_replace("two", "e{3,}", "eeë"))
     t = _flag(_flag(_flag(t, "two", known, "a"), "two_e", known, "b"), "one0", known, "one_ok")
     t = t.withColumn("two_ok", F.col("a") | F.col("b")).withColumn("one", F.when(F.col("one_ok"), F.col("one0")).otherwise(F.col("p")))
-    pick = F.when(F.col("one_ok") & ~F.col("two_ok"), F.col("one")).otherwise(F.col("two"))
-    return t.select("tok", "one", "one_ok", "two", "two_ok", pick.alias("corrected"))
-
-
-def correct(messages: DataFrame, known: DataFrame, id_col: str = "msg_id", text_col: str = "text_prepro", language: str = "en") -> DataFrame:
-    """(id, text_flood) with every token corrected; as many tokens as before. Null and blank texts give the empty text."""
-    base = messages.select(id_col, words(F.coalesce(F.col(text_col), F.lit(""))).alias("w"))
-    tokens = base.select(id_col, F.posexplode("w").alias("pos", "tok"))
-    fixed = tokens.join(correct_tokens(tokens, known, language).select("tok", "corrected"), "tok")
-    joined = fixed.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "corrected"))), lambda x: x["corrected"]), " ").alias("text_flood"))
-    blank = base.where(F.size("w") == 0).select(id_col, F.lit("").alias("text_flood"))
-    return joined.unionByName(blank)
+    return t.withColumn("corrected", F.when(F.col("one_ok") & ~F.col("two_ok"), F.col("one")).otherwise(F.col("two"))).drop("p", "one0", "two_e", "a", "b", "flooded")
+
+
+def correct_tokens(tokens: DataFrame, known: DataFrame, language: str = "en") -> DataFrame:
+    """(tok, one, one_ok, two, two_ok, corrected) of each distinct token. Null tokens are dropped."""
+    t = tokens.select("tok").where("tok is not null").distinct()
+    return _corrected(t, known, language).select("tok", "one", "one_ok", "two", "two_ok", "corrected")
+
+
+def correct(messages: DataFrame, known: DataFrame, id_col: str = "msg_id", text_col: str = "text_prepro", language: str = "en", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, text_flood) with every token corrected; as many tokens as before. Null and blank texts give the empty
+    text.
+
+    The text is read once: tokens are corrected where they stand, not made distinct and joined back.
+    """
+    w = words(F.coalesce(F.col(text_col), F.lit("")))
+    base = messages.select(id_col, *keep, w.alias("w"))
+    rows = base.select(id_col, *keep, F.posexplode_outer("w").alias("pos", "tok"))
+    fixed = _corrected(rows, known, language)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("tok").isNotNull(), F.struct("pos", F.col("corrected").alias("c"))))), lambda x: x["c"]), " ")
+    return fixed.groupBy(id_col, *keep).agg(text.alias("text_flood"))

@@ -76,8 +76,18 @@ def spelling(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     return _by_token(tokens, best)
 
 
+def unchanged_rows(tokens: DataFrame) -> DataFrame:
+    """(msg_id, seg, tok, m, ori, alt) without M4: each token is its own pair."""
+    return _with_mask(tokens).select("msg_id", "seg", "tok", "m", F.col("tok").alias("ori"), F.col("tok").alias("alt"))
+
+
 def compound(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """M4: two tokens that make a known word become one, from left to right; the second token's slot is empty.
+    """M4: two tokens that make a known word become one, from left to right; the second token's slot is empty."""
+    return compound_rows(tokens, lexicon).select("msg_id", "seg", "ori", "alt")
+
+
+def compound_rows(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """M4 with the token and its mask: (msg_id, seg, tok, m, ori, alt).
 
     The greedy choice is that of every other candidate within each run of adjacent candidates.
     """
@@ -96,7 +106,7 @@ def compound(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
     t = t.withColumn("used", F.coalesce(F.lag("take").over(w), F.lit(False)))
     ori = F.when(F.col("used"), F.lit("")).when(F.col("take"), F.concat_ws(" ", "tok", "nxt")).otherwise(F.col("tok"))
     alt = F.when(F.col("used"), F.lit("")).when(F.col("take"), F.col("joined")).otherwise(F.col("tok"))
-    return t.select("msg_id", "seg", ori.alias("ori"), alt.alias("alt"))
+    return t.select("msg_id", "seg", "tok", "m", ori.alias("ori"), alt.alias("alt"))
 
 
 def word_split(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -235,3 +245,22 @@ def modules(res: dict[str, DataFrame]) -> dict[str, Callable[[DataFrame], DataFr
         "named_entities": lambda t: named_entities(t, res["gazetteer"]),
         "empty": empty,
     }
+
+
+#: Modules whose alternatives depend on more than the token itself.
+IN_CONTEXT = ("compound", "named_entities")
+#: Modules of a full run in their order, which is that of the feature vector (fixed values).
+_EN = ("word_split", "compound", "original", "abbreviation", "smt_token", "smt_unigram", "smt_bigram", "smt_cascaded", "transliterate", "spelling")
+FULL = {"en": _EN, "nl": (*_EN[:2], "phonemic", *_EN[2:])}
+
+
+def token_options(tokens: DataFrame, names: list[str], res: dict[str, DataFrame]) -> DataFrame:
+    """(tok, alt, votes, first) over the modules of ``names`` that go by the token alone, once per distinct token."""
+    d = tokens.select("tok").where("tok is not null").distinct()
+    fake = d.select(F.lit(0).cast("bigint").alias("msg_id"), F.lit(0).alias("pos"), "tok")
+    registry, out = modules(res), None
+    for i, name in enumerate(names):
+        if name not in IN_CONTEXT:
+            part = registry[name](fake).select(F.col("ori").alias("tok"), "alt", F.lit(i).alias("mod_ord"))
+            out = part if out is None else out.unionByName(part)
+    return out.groupBy("tok", "alt").agg(F.count(F.lit(1)).alias("votes"), F.min("mod_ord").alias("first"))

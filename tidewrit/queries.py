@@ -52,12 +52,12 @@ def resources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 _WORDS = lambda c: f"list_filter(regexp_split_to_array({c}, {quoted(X.WS + '+')}), lambda x: x <> '')"
 _TEXTS = "txt AS (SELECT DISTINCT msg_id, text_orig FROM messages)"
-_TOKENS = f"tok AS (SELECT msg_id, CAST(i - 1 AS INTEGER) AS pos, w[i] AS tok FROM (SELECT msg_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT DISTINCT msg_id, {_WORDS('text_prepro')} AS w FROM messages WHERE text_prepro IS NOT NULL)))"
+_TOKENS = f"tok AS MATERIALIZED (SELECT msg_id, CAST(generate_subscripts(w, 1) - 1 AS INTEGER) AS pos, unnest(w) AS tok FROM (SELECT msg_id, {_WORDS('text_prepro')} AS w FROM (SELECT DISTINCT msg_id, text_prepro FROM messages WHERE text_prepro IS NOT NULL)))"
 _GOLDS = "gold AS (SELECT DISTINCT post_id, post, ori, tok, tgt, ne FROM csv_sent)"
 _GTOK = f"{_GOLDS}, gtok AS (SELECT post_id, CAST(i - 1 AS INTEGER) AS pos, ori[i] AS ori, tok[i] AS tok, tgt[i] AS tgt, coalesce(list_contains(ne, i - 1), false) AS is_ne FROM (SELECT *, unnest(range(1, len(ori) + 1)) AS i FROM gold WHERE tgt IS NOT NULL))"
 _LEX = "lex AS (SELECT DISTINCT word FROM lexicon)"
 _LEXF = "lexf AS (SELECT word, max(freq) AS f FROM lexicon WHERE word IS NOT NULL GROUP BY word)"
-_UNK = f"{_LEX}, unk AS (SELECT DISTINCT tok FROM tok WHERE tok NOT IN (SELECT word FROM lex WHERE word IS NOT NULL))"
+_UNK = f"{_LEX}, unk AS MATERIALIZED (SELECT DISTINCT tok FROM tok ANTI JOIN lex ON tok = word)"
 _BIGRAM = "bi AS (SELECT w1, w2, count(*) AS cnt FROM (SELECT coalesce(lag(tgt) OVER w, '<s>') AS w1, tgt AS w2 FROM gtok WINDOW w AS (PARTITION BY post_id ORDER BY pos) UNION ALL SELECT tgt, '</s>' FROM (SELECT tgt, lead(tgt) OVER (PARTITION BY post_id ORDER BY pos) AS nx FROM gtok) WHERE nx IS NULL) GROUP BY 1, 2)"
 
 

@@ -63,7 +63,7 @@ def annotation_sheet(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def numbered_sheet(df: DataFrame, prefix: str, order_col: str, text_col: str) -> DataFrame:
     """K7: as K6 with ids ``prefix00001`` and on in the order of ``order_col``. Numbers follow a range partitioning: each
     part is counted, and only the parts' counts are summed up."""
-    r = df.select(F.col(order_col).alias("o"), F.col(text_col).alias("text")).where("text is not null").repartitionByRange("o", "text").sortWithinPartitions("o", "text")
+    r = df.select(F.col(order_col).alias("o"), F.col(text_col).alias("text")).where("text is not null")
     from ..plans.pipeline import ranked
 
     numbered = ranked(r, ["o", "text"], "n")
