@@ -176,8 +176,32 @@ def _chars_sql(n: int) -> str:
 
 query("M8_smt_unigram", _chars_sql(1))(lambda s, d: suggest.smt_chars(tokens(s, d), resources(s, d)["gold"], 1))
 query("M9_smt_bigram", _chars_sql(2))(lambda s, d: suggest.smt_chars(tokens(s, d), resources(s, d)["gold"], 2))
-query("M10_smt_cascaded")(lambda s, d: suggest.smt_cascaded(tokens(s, d), resources(s, d)["gold"]))
-query("M11_transliterate")(lambda s, d: suggest.transliterate(tokens(s, d), resources(s, d)["gold"]))
+_BEST_PHRASE = "m7 AS (SELECT src, tgt AS mid FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY n DESC, tgt) AS rn FROM ph) WHERE rn = 1)"
+_CASCADE = _with(
+    _TOKENS,
+    _GOLDS,
+    _PHRASE,
+    _BEST_PHRASE,
+    "mids AS (SELECT tok, coalesce(mid, tok) AS mid FROM (SELECT DISTINCT tok FROM tok) LEFT JOIN m7 ON src = tok)",
+    "pr AS (SELECT substring(src, i, 1) AS g, substring(tgt, i, 1) AS o, sum(n) AS n FROM (SELECT src, tgt, n, CAST(unnest(range(1, length(tgt) + 1)) AS INTEGER) AS i FROM ph WHERE length(src) = length(tgt) AND length(src) > 0) GROUP BY 1, 2)",
+    "tb AS (SELECT g, o FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, o) AS rn FROM pr) WHERE rn = 1)",
+    "c AS (SELECT mid, i, substring(mid, i, 1) AS g FROM (SELECT mid, CAST(unnest(range(1, length(mid) + 1)) AS INTEGER) AS i FROM (SELECT DISTINCT mid FROM mids)))",
+    "o2 AS (SELECT mid, string_agg(coalesce(o, g), '' ORDER BY i) AS alt FROM c LEFT JOIN tb USING (g) GROUP BY mid)",
+    "m AS (SELECT tok, alt FROM mids JOIN o2 USING (mid))",
+    select=_BYTOK,
+)
+query("M10_smt_cascaded", _CASCADE)(lambda s, d: suggest.smt_cascaded(tokens(s, d), resources(s, d)["gold"]))
+_TRANSLIT = _with(
+    _TOKENS,
+    _GOLDS,
+    _PHRASE,
+    "pr AS (SELECT substring('@' || src || '@', i, 3) AS g, substring(tgt, i, 1) AS o, sum(n) AS n FROM (SELECT src, tgt, n, CAST(unnest(range(1, length(tgt) + 1)) AS INTEGER) AS i FROM ph WHERE length(src) = length(tgt) AND length(src) > 0) GROUP BY 1, 2)",
+    "tb AS (SELECT g, o FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, o) AS rn FROM pr) WHERE rn = 1)",
+    "c AS (SELECT tok, i, substring('@' || tok || '@', i, 3) AS g, substring(tok, i, 1) AS self FROM (SELECT tok, CAST(unnest(range(1, length(tok) + 1)) AS INTEGER) AS i FROM (SELECT DISTINCT tok FROM tok)))",
+    "m AS (SELECT tok, string_agg(coalesce(o, self), '' ORDER BY i) AS alt FROM c LEFT JOIN tb USING (g) GROUP BY tok)",
+    select=_BYTOK,
+)
+query("M11_transliterate", _TRANSLIT)(lambda s, d: suggest.transliterate(tokens(s, d), resources(s, d)["gold"]))
 query("M12_empty", _with(_TOKENS, select=f"SELECT msg_id, {_CAST}, tok AS ori, '' AS alt FROM tok"))(lambda s, d: suggest.empty(tokens(s, d)))
 _NE = "ent AS (SELECT msg_id, pos, tok, lower(tok) IN (SELECT key FROM gazetteer WHERE key IS NOT NULL) OR regexp_full_match(tok, '@[\\w\\d]+') OR (prev IS NOT NULL AND prev NOT IN ('!', '.', '?', '-', ':', '...') AND regexp_full_match(tok, '\\p{Lu}\\p{Ll}+')) AS is_ne FROM (SELECT *, lag(tok) OVER (PARTITION BY msg_id ORDER BY pos) AS prev FROM tok))"
 query("M13_new_ne", _with(_TOKENS, _NE, select=f"SELECT msg_id, {_CAST}, tok AS ori, CASE WHEN is_ne THEN 'ਊ' ELSE tok END AS alt FROM ent"))(lambda s, d: suggest.named_entities(tokens(s, d), t(s, d, "gazetteer")))
@@ -194,8 +218,10 @@ def _ngram_sql(n: int) -> str:
 
 
 query("T2_string_to_ngrams", _ngram_sql(2))(lambda s, d: texts(s, d).select("msg_id", F.when(F.col("text_orig").isNotNull(), X.ngrams(F.col("text_orig"), 2)).alias("ngrams")))
-query("T3_ngrams_to_string")(lambda s, d: texts(s, d).select("msg_id", X.from_ngrams(X.ngrams(F.translate(F.col("text_orig"), " ", " "), 2), 2).alias("text")))
-query("T4_vectorize")(lambda s, d: tokens(s, d).select("tok").distinct().select("tok", X.windows(F.col("tok")).alias("keys")))
+query("T3_ngrams_to_string", _with(_TEXTS, select="SELECT msg_id, CASE WHEN text_orig IS NULL THEN '' ELSE translate(regexp_replace('#' || replace(translate(text_orig, chr(160), ' '), ' ', '#') || '#', '^#|#$', '', 'g'), '#', ' ') END AS text FROM txt"))(lambda s, d: texts(s, d).select("msg_id", X.from_ngrams(X.ngrams(F.translate(F.col("text_orig"), " ", " "), 2), 2).alias("text")))
+query("T4_vectorize", _with(_TOKENS, select="SELECT tok, array_to_string(list_transform(range(1, length(tok) + 1), lambda i: array_to_string(list_transform(range(0, 10), lambda k: k || '-' || substring('@@@@@' || tok || '@@@@@', CAST(i + k AS INTEGER), 1)), ' ')), ' | ') AS keys FROM (SELECT DISTINCT tok FROM tok)"))(
+    lambda s, d: tokens(s, d).select("tok").distinct().select("tok", F.array_join(F.transform(X.windows(F.col("tok")), lambda k: F.array_join(k, " ")), " | ").alias("keys"))
+)
 _T5 = "t5 AS (SELECT msg_id, pos, coalesce(lag(tok) OVER w, '<s>') AS w1, tok AS w2 FROM tok WINDOW w AS (PARTITION BY msg_id ORDER BY pos) UNION ALL SELECT msg_id, pos + 1, tok, '</s>' FROM (SELECT *, lead(tok) OVER (PARTITION BY msg_id ORDER BY pos) AS nx FROM tok) WHERE nx IS NULL)"
 query("T5_2grams", _with(_TOKENS, _T5, select="SELECT * FROM t5"))(lambda s, d: filtering.sentence_bigrams(tokens(s, d)))
 query("T6_unk_marks", _with(_TEXTS, select=r"SELECT msg_id, regexp_replace(text_orig || ' ab|UNK|UNKB c', '(\|UNK[BQk]?)+', '', 'g') AS result FROM txt"))(lambda s, d: texts(s, d).select("msg_id", align.without_unk(F.concat("text_orig", F.lit(" ab|UNK|UNKB c"))).alias("result")))
@@ -336,16 +362,20 @@ query("S4_clean_cells", _with(_GTOK, select="SELECT post_id, pos, replace(trim(t
 query("S7_skipped_posts", _with(_GOLDS, _SHEET, "f AS (SELECT *, sum(CASE WHEN c2 <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY row_no) AS p FROM sheet)", select="SELECT file, row_no, c3 FROM (SELECT *, first_value(c0) OVER (PARTITION BY file, p ORDER BY row_no) AS sk FROM f) WHERE sk = ''"))(
     lambda s, d: readers.without_skipped(sheet(s, d)).select("file", "row_no", "c3")
 )
-query(
-    "S8_gold_loader",
-    _with(
-        _GOLDS,
-        _SHEET,
-        "f AS (SELECT *, last_value(nullif(c2, '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS post FROM sheet)",
-        select="SELECT file, row_no, post, CAST(row_number() OVER (PARTITION BY file, post ORDER BY row_no) - 1 AS INTEGER) AS pos, c3 AS ori, CASE WHEN c7 <> '' THEN '•' WHEN c4 = '' THEN c3 ELSE c4 END AS tok, CASE WHEN c7 <> '' THEN '•' WHEN c6 = '' THEN c3 ELSE c6 END AS tgt, c10 <> '' AS is_ne FROM f WHERE c3 <> '' AND post IS NOT NULL",
-    ),
-)(lambda s, d: readers.gold_rows(sheet(s, d)))
-query("S8_gold_records")(lambda s, d: readers.gold_records(readers.gold_rows(sheet(s, d))))
+_POSTS = "f AS (SELECT *, last_value(nullif(c2, '') IGNORE NULLS) OVER (PARTITION BY file ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS post FROM sheet)"
+_ROWS = "SELECT file, row_no, post, CAST(row_number() OVER (PARTITION BY file, post ORDER BY row_no) - 1 AS INTEGER) AS pos, c3 AS ori, CASE WHEN c7 <> '' THEN '•' WHEN c4 = '' THEN c3 ELSE c4 END AS tok, CASE WHEN c7 <> '' THEN '•' WHEN c6 = '' THEN c3 ELSE c6 END AS tgt, c10 <> '' AS is_ne FROM f WHERE c3 <> '' AND post IS NOT NULL"
+query("S8_gold_loader", _with(_GOLDS, _SHEET, _POSTS, select=_ROWS))(lambda s, d: readers.gold_rows(sheet(s, d)))
+_RECORDS = _with(
+    _GOLDS,
+    _SHEET,
+    _POSTS,
+    f"r AS ({_ROWS})",
+    "g AS (SELECT file, post, max(row_no) AS last, string_agg(ori, ' ' ORDER BY pos) AS ori, string_agg(tok, ' ' ORDER BY pos) AS tok, string_agg(tgt, ' ' ORDER BY pos) AS tgt, coalesce(string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) FILTER (is_ne), '') AS ne FROM r GROUP BY file, post)",
+    select="SELECT post, ori, tok, tgt, ne FROM (SELECT *, row_number() OVER (PARTITION BY post ORDER BY file DESC, last DESC) AS rn FROM g) WHERE rn = 1",
+)
+query("S8_gold_records", _RECORDS)(
+    lambda s, d: readers.gold_records(readers.gold_rows(sheet(s, d))).select("post", *[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) for c in ("ori", "tok", "tgt", "ne")])
+)
 query("S10_row_width", _with(_GOLDS, select="SELECT post_id, len(ori) + 4 AS cells FROM gold"))(
     lambda s, d: readers.checked_width(resources(s, d)["gold"].select("post_id", F.concat("ori", F.array_repeat(F.lit(""), 4)).alias("row")), "row", 0).select("post_id", F.size("row").cast("bigint").alias("cells"))
 )
