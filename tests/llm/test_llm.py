@@ -44,6 +44,34 @@ def test_sentences(segmenter):
     assert cut(segmenter, "The cat left early. <LINEBREAK> Our bus left early.") == ["The cat left early.", "Our bus left early."]
 
 
+@pytest.mark.parametrize("least, parts", [(45, ["邮递员在等公共汽车", "我妈妈买了一把新雨伞", "弟弟忘了关窗户", "妹妹在沙发上睡着了"]), (45, ["母は雨を見ていました", "弟は窓を閉め忘れました", "妹はソファで寝ました", "猫は手紙を書きました"]), (30, ["พี่สาวของฉันลืมปิดหน้าต่าง", "แม่ของฉันซื้อร่มคันใหม่", "เด็กผู้ชายกำลังรอรถเมล์", "แมวหลับบนโซฟา"])])
+def test_sentences_without_blanks_or_stops(least, parts):
+    rng = random.Random(4)
+    stop = " " if parts[0][0] >= "\u0e00" and parts[0][0] < "\u0e80" else "。"
+    model = sentences.train([stop.join(rng.choice(parts) for _ in range(rng.randint(1, 3))) + (stop if rng.random() < 0.8 else "") + f" #t{i}" for i in range(500)])
+    right = 0
+    for _ in range(50):
+        a, b = rng.choice(parts), rng.choice(parts)
+        right += cut(model, a + b) == [a, b]
+    assert right >= least and cut(model, parts[0]) == [parts[0]]
+
+
+def test_transitions_are_learned():
+    class Chain:
+        ends, silver, kinds, features = [1, 2, 3, 4], [1, 0, 1, 0], [(".", False)] * 4, [[0]] * 4
+
+    import numpy as np
+
+    tr = sentences.transitions(sentences.Model(np.zeros(4)), [Chain()] * 500)
+    assert tr[0][1][1] < -1 < 0 < tr[0][1][0] and np.allclose(tr[1:], 0)
+
+
+def test_silver_of_a_table_equals_that_of_its_texts(spark):
+    texts = ["Take ca. 5 g e.g. the brown one. Then wait! We left."] * 6 + ["Go ca. 6 km? They did."] * 3
+    a, b = sentences.silver_of(messages(spark, *texts, None, "")), sentences.Silver.of([*texts, ""])
+    assert (a.abbreviations, a.starters, a.enders) == (b.abbreviations, b.starters, b.enders) and "ca" in a.abbreviations
+
+
 def test_sentences_cover_all_but_white_space(segmenter):
     rng = random.Random(8)
     for _ in range(200):

@@ -294,7 +294,8 @@ LOG_CLEAN, LOG_CHAIN = math.log(0.95), math.log(0.05 / len(CHAINS))
 
 def repaired(text: str, model: CharModel, log_prior: list[float] | None = None) -> str:
     """The text by its most probable chain, and again while another chain explains more; the rest stays."""
-    for _ in range(4):
+    # Each round makes the text more probable, so this ends.
+    while True:
         if text.isascii() or not _SUSPICIOUS.search(text):
             return text
         best, out = (log_prior[0] if log_prior else LOG_CLEAN), text
@@ -306,7 +307,6 @@ def repaired(text: str, model: CharModel, log_prior: list[float] | None = None)
         if out == text:
             return text
         text = out
-    return text
 
 
 def suspicious(text: Column) -> Column:

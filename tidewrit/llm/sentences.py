@@ -1,15 +1,20 @@
 """Problem 1: sentence units of texts in many scripts, with careless punctuation or none.
 
-Every character is tagged as the last one of a sentence or as inside of one. A linear-chain model scores the tags from
-the text around each place where a unit (word, stop, emoji ...) ends, and Viterbi decoding picks the best sequence in
-which each sentence has a word. The model is trained here, on labels that the texts give themselves: in text with
-ordinary case and punctuation most boundaries are plain, and abbreviations show by the small letters that follow them.
-The sentences so found are then joined again with punctuation, case and blanks taken away, so that the model learns
-which words begin and end sentences; for scripts that don't mark sentences this is what it goes by.
+Every character is tagged as the last one of a sentence or as inside of one. Only where a unit (word, stop, emoji ...)
+ends can it be the last one, and in runs of letters of scripts without blanks, where every character can. A linear-chain
+model scores the tags from the text around each place and from the tag before, and Viterbi decoding picks the best
+sequence of tags. The model is trained here, on labels that the texts give themselves: in text with ordinary case and
+punctuation most boundaries are plain, and abbreviations show by the small letters that follow them. The sentences so
+found are then joined again with punctuation, case and blanks taken away, so that the model learns which words, or
+letters of scripts without blanks, begin and end sentences. Transitions are learned from the expected pairs of tags.
+
+Abbreviations and the words that begin and end sentences are counted over all texts; only the weights are fitted on a
+sample.
 """
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -21,10 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, hash_bound
+from .common import Memo, bounded, hash_bound
 
-#: Messages that the model is fitted on, the same ones whatever the order of rows: the smallest hashes of their text.
+#: Messages that the weights are fitted on, the same ones whatever the order of rows: the smallest hashes of their text.
 TRAINING = 8_000
+#: A word begins or ends sentences if it does so in one of so many texts, or more often.
+TEXTS_PER_WORD = 25_000
+#: How many times as often as other words single letters must begin sentences.
+SINGLE = 10
+#: Pairs of tags that independent tags count as, when transitions are learned.
+DRAWN = 200.0
+#: How often an abbreviation must stand before a small letter.
+LEAST_SEEN = 3
+#: Words of partial counts that a task holds before it sends them on, and most words that are sent to the driver.
+MOST_PARTIAL, MOST_WORDS = 300_000, 2_000_000
 BITS = 18
 #: What counts against a boundary without stop or tail, beside the model's score.
 BARE = 1.5
@@ -48,6 +63,7 @@ UNIT = re.compile(
 )
 _SEA = re.compile("[฀-໿က-႟ក-៿]")
 _CJK = re.compile("[⺀-鿿]")
+_UNSPACED = re.compile("[⺀-鿿฀-໿က-႟ក-៿]")
 _RUN = re.compile(r"(.)\1+")
 
 
@@ -109,6 +125,8 @@ class Places:
         for i, (kind, s, a, b) in enumerate(out):
             if kind == "line":
                 continue
+            if kind == "word" and b - a > 3 and _UNSPACED.match(s):
+                self._inside(s, a, silver)
             if kind in ("word", "number", "handle", "mail"):
                 last2, last_word = last_word, s
                 seen_words += kind != "handle"
@@ -153,6 +171,22 @@ class Places:
             nw2 = out[k][1] if k < n else ""
             self._candidate(b, na, kind, stop, tail, closed, glued, line, depth, last_word, last2, nw, nw2, nw_kind, nk, seen_words, silver)
 
+    def _inside(self, s: str, at: int, silver) -> None:
+        """Each place within a run of letters without blanks, with its letters to both sides."""
+        n = len(s)
+        script = "T" if _SEA.match(s) else "C"
+        for j in range(2, n - 1):
+            if not (s[j - 1].isalnum() and s[j].isalnum()):
+                continue
+            l1, l2, l3, r1, r2, r3 = s[j - 1], s[j - 2 : j], s[max(0, j - 3) : j], s[j], s[j : j + 2], s[j : j + 3]
+            keys = (script, "a" + l1, "b" + l2, "c" + l3, "d" + r1, "e" + r2, "f" + r3, f"g{l1} {r1}", f"h{l2} {r2}", f"i{l1} {r2}", f"j{l2} {r1}", f"k{l3} {r1}", f"l{l1} {r3}", f"m{l3} {r3}", f"{script}{min(j, 6)} {min(n - j, 6)}")
+            self.ends.append(at + j)
+            self.starts.append(at + j)
+            self.kinds.append(("i", False))
+            self.features.append([text_hash["~" + k] & _MASK for k in keys])
+            if silver is not None:
+                self.silver.append(0)
+
     def _candidate(self, end, start, kind, stop, tail, closed, glued, line, depth, w, w0, nw, nw2, nw_kind, nk, seen, silver):
         if stop:
             p = "..." if "…" in stop or ".." in stop else "!" if stop.strip(".!?") == "" and stop != "." else stop[0] if stop[0] in ".。।" else "S"
@@ -182,17 +216,24 @@ class Places:
 class Silver:
     """Labels that a collection of texts gives itself: 1 a boundary, 0 none, -1 not plain."""
 
-    def __init__(self, texts: list[str]):
-        self.abbreviations = find_abbreviations(texts)
-        self.starters, self.enders = Counter(), Counter()
-        for t in texts:
-            m = re.match(r"(?:@\w+\s+)?([^\W\d_][\w'’]*)(?=\s)(?!\s*[-,:])", t)
-            if m:
-                self.starters[word_features[m[1]][0]] += 1
-            for m in re.finditer(r"([\w'’]+)[!?]+\s+(?:[\"“„«(]\s?)?([^\W\d_][\w'’]*)", t):
-                if not m[2][0].islower():
-                    self.enders[word_features[m[1]][0]] += 1
-                    self.starters[word_features[m[2]][0]] += 1
+    def __init__(self, abbreviations: set[str], starters: set[str], enders: set[str]):
+        self.abbreviations, self.starters, self.enders = abbreviations, starters, enders
+
+    @staticmethod
+    def of(texts: list[str]) -> Silver:
+        total: Counter = Counter()
+        for n in counted(iter([texts])):
+            total.update(n)
+        return Silver.from_counts(total, len(texts))
+
+    @staticmethod
+    def from_counts(n: Counter, texts: int) -> Silver:
+        """``n``: counts by (what, word) as ``counted`` gives them, of so many texts."""
+        least = max(1.0, texts / TEXTS_PER_WORD)
+        # Single letters also begin smileys and the second parts of abbreviations.
+        chosen = lambda what: {w for (k, w), c in n.items() if k == what and c >= least * (SINGLE if len(w) < 2 else 1)}
+        short = {w for (k, w), c in n.items() if k == "stop" and is_abbreviation(w, c, n["small", w], n["bare", w])}
+        return Silver({part for w in short for part in (w, w.rsplit(".", 1)[-1])}, chosen("starter"), chosen("ender"))
 
     def label(self, p, tail, closed, glued, depth, w, key, nkey, nw_kind, nk, ws, ns, kind, seen, wide, lower) -> int:
         if depth:
@@ -226,7 +267,7 @@ class Silver:
             if ws == "n" and "ऀ" <= w[0] <= "ॿ":
                 return 0  # these scripts end sentences with marks of their own
             if key in self.abbreviations or len(w) == 1:
-                return 0 if ns in "l0n" or ns == "U" and nkey not in self.starters else -1
+                return 0 if ns in "l0n" or ns in "UI" and nkey not in self.starters else -1
             if ws == "0" and ns == "U":
                 return 0 if nkey not in self.starters else -1
             if ns in "Un" or ns == "I" and len(w) > 3:
@@ -237,27 +278,35 @@ class Silver:
         return 0 if ns in "l0An" or key not in self.enders or nkey not in self.starters else -1
 
 
+#: Classes of places by their marks: a stop or a tail, a comma or nothing, within a run of letters.
+_CLASS = {"0": 1, ",": 1, "i": 2}
+
+
 class Model:
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    """Weights of features, and scores (class of place, tag before, tag) of transitions; tag 1 ends a sentence."""
+
+    def __init__(self, weights: np.ndarray, trans: np.ndarray | None = None):
+        self.weights, self.trans = weights, np.zeros((3, 2, 2)) if trans is None else trans
+
+    def scores(self, places: Places) -> list[float]:
+        """Log odds of tag 1 at each place, by its features alone."""
+        return self.weights[np.array(places.features)].sum(1, dtype=np.float64).tolist()
 
     def boundaries(self, places: Places) -> list[int]:
-        """Indices of the candidates that end a sentence, by Viterbi: scores of single tags, and no sentence without a word."""
+        """Indices of the places that end a sentence, by Viterbi."""
         if not places.ends:
             return []
-        scores = self.weights[np.array(places.features)].sum(1)
-        # Candidates are word to word, so any two of them have a word between; the chain couples only close ones.
+        tr = self.trans.tolist()
         stay, cut, back = 0.0, -1e9, []
-        last_stop = None
-        for s, (p, tail) in zip(scores.tolist(), places.kinds):
-            near = 0.0
-            if p in "0," and not tail:
+        for s, (p, tail) in zip(self.scores(places), places.kinds):
+            kind = 0 if tail else _CLASS.get(p, 0)
+            if kind:
                 # Joined training sentences overstate how often a sentence ends without any mark.
-                near, s = -1.0, s - BARE
-            best = stay if stay >= cut else cut
-            from_cut = cut + near
-            back.append((stay < cut, stay < from_cut))
-            stay, cut = best, max(stay, from_cut) + s
+                s -= BARE
+            (ss, sc), (cs, cc) = tr[kind]
+            a, b, c, d = stay + ss, cut + cs, stay + sc, cut + cc
+            back.append((a < b, c < d))
+            stay, cut = max(a, b), max(c, d) + s
         out, at = [], cut > stay
         for i in range(len(back) - 1, -1, -1):
             if at:
@@ -292,26 +341,62 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
             return a, max(a, b)
 
 
-def find_abbreviations(texts: list[str]) -> set[str]:
-    """Words that a small letter or digit often follows after their stop, in texts of mixed case, or that are short and
-    hardly ever stand without a stop."""
-    with_small, total, bare = Counter(), Counter(), Counter()
-    for t in texts:
-        if t.islower() or t.isupper():
-            continue
-        bare.update(w.lower() for w in re.findall(r"\w+(?![\w.])", t))
-        for m in re.finditer(r"(?:^|[\s(])((?:\w+\.)*\w+)\.(?=\s+(\S))", t):
-            w = m[1].lower()
-            total[w] += 1
-            with_small[w] += m[2].islower() or m[2].isdigit()
-    return {part for w, n in total.items() if with_small[w] >= max(2, 0.4 * n) and len(w) <= 7 or n >= 5 and n >= 4 * bare[w] and len(w) <= 4 and not w.isdigit() for part in (w, w.rsplit(".", 1)[-1])}
+_BARE_WORD = re.compile(r"\w+(?![\w.])")
+_BEFORE_STOP = re.compile(r"(?:^|[\s(])((?:\w+\.)*\w+)\.(?=\s+(\S))")
+_FIRST_WORD = re.compile(r"(?:@\w+\s+)?([^\W\d_][\w'’]*)(?=\s)(?!\s*[-,:])")
+_AROUND_MARK = re.compile(r"([\w'’]+)[!?]+\s+(?:[\"“„«(]\s?)?([^\W\d_][\w'’]*)")
 
 
-def train(texts: list[str], rounds: int = 6) -> Model:
-    """Fit the model on raw texts; deterministic for a given list."""
+def counted(batches: Iterator[list[str]]) -> Iterator[Counter]:
+    """What texts tell about words, as partial counts by (what, word): those that begin texts and sentences and those that
+    end sentences, words before a stop and how often a small letter or digit follows it, and words without a stop."""
+    n: Counter = Counter()
+    bare: Counter = Counter()
+    for texts in batches:
+        for t in texts:
+            if m := _FIRST_WORD.match(t):
+                n["starter", word_features[m[1]][0]] += 1
+            if "!" in t or "?" in t:
+                for m in _AROUND_MARK.finditer(t):
+                    if not m[2][0].islower():
+                        n["ender", word_features[m[1]][0]] += 1
+                        n["starter", word_features[m[2]][0]] += 1
+            if t.islower() or t.isupper():
+                continue
+            bare.update(_BARE_WORD.findall(t.lower()))
+            if ". " in t or ".\t" in t or ".\n" in t or not t.isascii():
+                for m in _BEFORE_STOP.finditer(t):
+                    w = m[1].lower()
+                    if len(w) <= 7:
+                        n["stop", w] += 1
+                        if m[2].islower() or m[2].isdigit():
+                            n["small", w] += 1
+        if len(n) + len(bare) > MOST_PARTIAL:
+            yield _with_bare(n, bare)
+            n, bare = Counter(), Counter()
+    yield _with_bare(n, bare)
+
+
+def _with_bare(n: Counter, bare: Counter) -> Counter:
+    """Only words as short as abbreviations matter."""
+    for w, k in bare.items():
+        if len(w) <= 7:
+            n["bare", w] += k
+    return n
+
+
+def is_abbreviation(word: str, stops: int, small: int, bare: int) -> bool:
+    """A word that often stands with a stop before a small letter or digit, and either nearly always so or hardly without a
+    stop, or a short one that hardly ever stands without one."""
+    return small >= max(LEAST_SEEN, 0.4 * stops) and (2 * stops >= bare or small >= 0.8 * stops) or stops >= 5 and stops >= 4 * bare and len(word) <= 4 and not word.isdigit()
+
+
+def train(texts: list[str], silver: Silver | None = None, rounds: int = 6) -> Model:
+    """Fit the model on raw texts; deterministic for a given list. ``silver`` is what all texts tell, by default these."""
     texts = sorted(set(texts))
     rng = random.Random(11)
-    silver = Silver(texts)
+    silver = silver or Silver.of(texts)
+    chains: list[Places] = []
     x, y, sentences = [], [], []
 
     def add(text: str, forced: set[int] | None = None, inside: bool = False) -> Places:
@@ -326,6 +411,7 @@ def train(texts: list[str], rounds: int = 6) -> Model:
 
     for t in texts:
         p = add(t)
+        chains.append(p)
         # The same text without its case has the same boundaries.
         for other in (t.lower(), t.upper()) if rng.random() < 0.5 else (t.lower(),):
             if other != t and len(other) == len(t):
@@ -356,7 +442,9 @@ def train(texts: list[str], rounds: int = 6) -> Model:
             continue
         body = a.rstrip(STOPS + " ")
         how = rng.random()
-        if _SEA.search(a):
+        if (_SEA.search(a) or _CJK.search(a)) and body and how < 0.35 and body[-1].isalpha() and b[0].isalpha():
+            joined, first = body + b, len(body)
+        elif _SEA.search(a):
             joined, first = body + " " + b, len(body)
         elif how < 0.25:
             joined, first = (a + " " + b).lower(), len(a)
@@ -397,7 +485,27 @@ def train(texts: list[str], rounds: int = 6) -> Model:
             else:
                 g2 += g * g
                 weights += 0.25 * g / np.sqrt(g2)
-    return Model(weights)
+    return Model(weights, transitions(Model(weights), chains))
+
+
+def transitions(model: Model, chains: list[Places]) -> np.ndarray:
+    """How much more often a tag follows another one than it is met, in nats, by class of place; from the labels of the
+    places that have one and the model's probabilities of the others."""
+    pairs = np.zeros((3, 2, 2))
+    for p in chains:
+        if not p.ends:
+            continue
+        q = [float(label) if label >= 0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s, label in zip(model.scores(p), p.silver)]
+        before = 0.0
+        for x, (mark, tail) in zip(q, p.kinds):
+            k = 0 if tail else _CLASS.get(mark, 0)
+            pairs[k] += np.outer((1 - before, before), (1 - x, x))
+            before = x
+    # Rare pairs are drawn to what independent tags would give.
+    share = (pairs + 1) / (pairs + 1).sum((1, 2), keepdims=True)
+    share = pairs + DRAWN * share.sum(2, keepdims=True) * share.sum(1, keepdims=True)
+    share /= share.sum((1, 2), keepdims=True)
+    return np.log(share / (share.sum(2, keepdims=True) * share.sum(1, keepdims=True)))
 
 
 def training_texts(messages: DataFrame, text_col: str = "text_orig", most: int = TRAINING) -> list[str]:
@@ -408,8 +516,27 @@ def training_texts(messages: DataFrame, text_col: str = "text_orig", most: int =
     return [r[0] for r in rows]
 
 
+def silver_of(messages: DataFrame, text_col: str = "text_orig") -> Silver:
+    """What all texts of a table tell; words too rare to matter don't reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n in counted([t for t in batch.column(0).to_pylist()] for batch in batches):
+            what, word = zip(*n) if n else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(what, pa.string()), pa.array(word, pa.string()), pa.array(list(n.values()), pa.int64())], names=["what", "word", "n"])
+
+    texts = messages.select(F.col(text_col).alias("t")).where("t is not null")
+    n = texts.mapInArrow(run, "what string, word string, n bigint").groupBy("what", "word").agg(F.sum("n").alias("n"))
+    size = texts.count()
+    wide = n.groupBy("word").agg(*[F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(k) for k in ("starter", "ender", "stop", "small", "bare")])
+    least = max(1.0, size / TEXTS_PER_WORD)
+    short = (F.col("small") >= F.greatest(F.lit(LEAST_SEEN), 0.4 * F.col("stop"))) & ((2 * F.col("stop") >= F.col("bare")) | (F.col("small") >= 0.8 * F.col("stop"))) | (F.col("stop") >= 5) & (F.col("stop") >= 4 * F.col("bare"))
+    rows = bounded(wide.where((F.col("starter") >= least) | (F.col("ender") >= least) | (F.col("stop") > 0) & short), MOST_WORDS, "words that begin or end sentences, and abbreviations,")
+    total = Counter({(k, r["word"]): r[k] for r in rows for k in ("starter", "ender", "stop", "small", "bare") if r[k]})
+    return Silver.from_counts(total, size)
+
+
 def fitted(messages: DataFrame) -> Model:
-    return train(training_texts(messages))
+    return train(training_texts(messages), silver_of(messages))
 
 
 def sentence_spans(texts: DataFrame, model: Model, columns: str) -> DataFrame:
@@ -418,12 +545,12 @@ def sentence_spans(texts: DataFrame, model: Model, columns: str) -> DataFrame:
     Positions count code points from 0, end exclusive. Null and blank texts have no sentence; a very long text is one
     chain and is decoded whole. Repeated rows give repeated sentences.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))
+    sent = texts.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.trans))
     names = [c.strip() for c in columns.split(",")]
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(sent.value)
+        own = Model(*sent.value)
         for batch in batches:
             rows, a, b = [], [], []
             for k, t in enumerate(batch.column("text").to_pylist()):
