@@ -294,8 +294,10 @@ LOG_CLEAN, LOG_CHAIN = math.log(0.95), math.log(0.05 / len(CHAINS))
 
 def repaired(text: str, model: CharModel, log_prior: list[float] | None = None) -> str:
     """The text by its most probable chain, and again while another chain explains more; the rest stays."""
-    # Each round makes the text more probable, so this ends.
+    # Chains are judged by different measures, so one could bring back what another one has undone: a text met before ends it.
+    seen: set[str] = set()
     while True:
+        seen.add(text)
         if text.isascii() or not _SUSPICIOUS.search(text):
             return text
         best, out = (log_prior[0] if log_prior else LOG_CLEAN), text
@@ -304,7 +306,7 @@ def repaired(text: str, model: CharModel, log_prior: list[float] | None = None)
             p = gain + (log_prior[i + 1] if log_prior else LOG_CHAIN)
             if gain > 0 and p > best:
                 best, out = p, t
-        if out == text:
+        if out in seen:
             return text
         text = out
 
